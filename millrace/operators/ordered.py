@@ -148,3 +148,27 @@ def with_offsets(df: DataFrame, offsets: dict[int, float], pid: str, gid: str, k
     zero = F.lit(0).cast(kind)
     joined = df.join(F.broadcast(table), (F.col(pid) == F.col(key)) & (F.col(gid) == 0), "left")
     return joined.withColumn(name, F.coalesce(F.col(name), zero)).drop(key), name
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """From sorted batches, one batch for each group of equal values in the first ``keys`` columns (for groups of bounded size)."""
+    held: list[pa.RecordBatch] = []
+
+    def closed() -> pa.RecordBatch:
+        out = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        held.clear()
+        return out
+
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        at = np.flatnonzero(any_changed([b.column(k) for k in range(keys)], last)).tolist()
+        last = [b.column(k)[b.num_rows - 1] for k in range(keys)]
+        bounds = [0, *[x for x in at if x], b.num_rows]
+        for k in range(len(bounds) - 1):
+            if held and (k or (at and at[0] == 0)):
+                yield closed()
+            held.append(b.slice(bounds[k], bounds[k + 1] - bounds[k]))
+    if held:
+        yield closed()

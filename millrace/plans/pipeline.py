@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.anomalies import implausible
 from millrace.operators.regrid import regrid
 from millrace.operators.rolling import calendar_day, day_number, rolling_totals
 from millrace.operators.skew import key_counts, skew_join
@@ -38,6 +39,22 @@ def p2_join(spark: SparkSession, folder: str) -> DataFrame:
     return skew_join(left, right, "dept_id", "id", "left").select("emp_id", "dept_id", F.col("name").alias("dept_name"))
 
 
+# --- problem 3
+
+#: Tenths of a degree Celsius that air on earth can have.
+AIR = (-900, 600)
+
+
+def p3_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """Implausible readings with the reason; a reading may have two."""
+    return implausible(table(spark, folder, "weather"), "station", "time", "temp", *AIR)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Implausible readings by station and time."""
+    return p3_reasons(spark, folder).select("station", "time").distinct()
+
+
 # --- problem 5
 
 
@@ -60,9 +77,6 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- problem 6
 
-#: Tenths of a degree that air on earth can have; readings beyond count as readings but carry no weight.
-AIR = (-900, 600)
-
 
 def hourly(spark: SparkSession, folder: str) -> DataFrame:
     return regrid(table(spark, folder, "weather"), "station", "time", "temp", step=3600, hold=3 * 3600, low=AIR[0], high=AIR[1])
@@ -78,7 +92,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return hourly(spark, folder).where("n_readings = 0").select("station", "slot")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_headcounts, p2_join, p5_found, p5_rolling, p6_found, p6_grid)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_headcounts, p2_join, p3_found, p3_reasons, p5_found, p5_rolling, p6_found, p6_grid)}
 
 _PRICED = """priced as (
     select symbol, d as day, count(*) as n, sum(price) as total from (
