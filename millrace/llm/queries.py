@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from millrace.llm.quantiles import merge, percentiles, summarise
 from millrace.llm.topn import top_n
 
 
@@ -29,7 +31,23 @@ def p1_top(spark: SparkSession, folder: str) -> DataFrame:
     return best_movies(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top)}
+# --- problem 4
+
+PERCENTS = {"p01": "0.01", "p05": "0.05", "p50": "0.5", "p95": "0.95", "p99": "0.99"}
+
+
+def p4_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Median and outer percentiles of temp per station, read from the merged summaries of single days; exact, so the stated error bound is 0.
+
+    A reading (station, time, temp) that is delivered again counts once. Days are those of the reading's time; readings without a time are a part of their own.
+    """
+    readings = table(spark, folder, "weather").where("station is not null and temp is not null").select("station", "time", "temp").distinct()
+    daily = summarise(readings.withColumn("day", F.floor(F.col("time") / 86400)), ["station", "day"], "temp")
+    out = percentiles(merge(daily, keys=["station"]), "station", PERCENTS)
+    return out.withColumn("error_bound", F.lit(0.0))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_top, p4_percentiles)}
 
 _BEST = """with best as (select "user", movie, max(rating) as rating from ratings where "user" is not null and movie is not null and rating is not null group by 1, 2),
     placed as (select *, cast(row_number() over (partition by "user" order by rating desc, movie) as integer) as position from best)"""
@@ -37,4 +55,9 @@ _BEST = """with best as (select "user", movie, max(rating) as rating from rating
 SQL = {
     "p1_found": f'{_BEST} select "user", movie from placed where position <= 5',
     "p1_top": f'{_BEST} select "user", movie, rating, position from placed where position <= 5',
+    "p4_percentiles": """with r as (select distinct station, time, temp from weather where station is not null and temp is not null),
+        o as (select station, temp, row_number() over (partition by station order by temp) as rn, count(*) over (partition by station) as n from r)
+        select station, any_value(n) as n, """
+    + ", ".join(f"min(case when rn >= greatest(1, (n * {k} + 99) // 100) then temp end) as p{k:02d}" for k in (1, 5, 50, 95, 99))
+    + ", cast(0 as double) as error_bound from o group by station",
 }
