@@ -65,44 +65,39 @@ def range_scan(df: DataFrame, order: list[Column], fn: Callable[[int, Iterator[p
     return parted.sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
-def _numbering(groups: int, runs: list[int] | None, keep: int | None, names: list[str]) -> Callable:
-    """fn for range_scan; the first ``groups`` columns are the group. Adds partition, ordinal of the group in it, place in the group (and ordinal of the run of equal values in columns ``runs``)."""
+def _numbering(groups: int, amount: int | None, keep: int | None, names: list[str]) -> Callable:
+    """fn for range_scan; the first ``groups`` columns are the group. Adds partition, ordinal of the group in it and place in the group (or the running sum of column ``amount``)."""
 
     def fn(pid: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, gid, carry, run = None, -1, 0, -1
+        last, gid, carry = None, -1, 0
         for b in batches:
             n = b.num_rows
             starts = any_changed([b.column(k) for k in range(groups)], last and last[:groups])
-            at = np.arange(n)
-            base = np.maximum.accumulate(np.where(starts, at, 0))
-            place = at - base + 1
+            each = np.ones(n, np.int64) if amount is None else b.column(amount).to_numpy(zero_copy_only=False).astype(np.int64)
+            ahead = np.cumsum(each) - each
+            place = ahead + each - ahead[np.maximum.accumulate(np.where(starts, np.arange(n), 0))]
             place[: int(starts.argmax()) if starts.any() else n] += carry
             gids = gid + np.cumsum(starts)
-            extra = [np.full(n, pid, np.int32), gids.astype(np.int64), place.astype(np.int64)]
-            if runs is not None:
-                new = starts | any_changed([b.column(k) for k in runs], last and [last[k] for k in runs])
-                ids = run + np.cumsum(new)
-                run = int(ids[-1])
-                extra.append(ids.astype(np.int64))
-            last, gid, carry = [b.column(k)[n - 1] for k in range(b.num_columns)], int(gids[-1]), int(place[-1])
+            extra = [np.full(n, pid, np.int32), gids.astype(np.int64), place]
+            last, gid, carry = [b.column(k)[n - 1] for k in range(groups)], int(gids[-1]), int(place[-1])
             out = pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, extra)], names)
             yield out.filter(pa.array(place <= keep)) if keep is not None else out
 
     return fn
 
 
-def numbered(df: DataFrame, group: list[str], order: list[Column], keep: int | None = None, runs: list[str] | None = None, partitions: int | None = None) -> tuple[DataFrame, dict[str, str]]:
+def numbered(df: DataFrame, group: list[str], order: list[Column], keep: int | None = None, amount: str | None = None, partitions: int | None = None) -> tuple[DataFrame, dict[str, str]]:
     """Numbers rows within their partition of the global sort, checkpointed so that numbers and partitions stay as they are.
 
-    Returns the frame and the names of its added columns: pid, gid (ordinal of the group within the partition), place
-    (1, 2, ... within group and partition) and, if ``runs`` names columns, run (ordinal of the run of equal values).
+    Returns the frame and the names of its added columns: pid, gid (ordinal of the group within the partition) and place
+    (1, 2, ... within group and partition; if ``amount`` names a column of whole numbers without nulls, its running sum).
     keep: drop rows whose place within the partition is already beyond it.
     """
     cols = [*group, *(c for c in df.columns if c not in group)]
     df = df.select(*[F.col(f"`{c}`") for c in cols])
-    names = {k: fresh(cols, k) for k in ["pid", "gid", "place", *(["run"] if runs else [])]}
+    names = {k: fresh(cols, k) for k in ["pid", "gid", "place"]}
     schema = T.StructType([*df.schema.fields, T.StructField(names["pid"], T.IntegerType()), *(T.StructField(v, T.LongType()) for k, v in names.items() if k != "pid")])
-    fn = _numbering(len(group), [cols.index(c) for c in runs] if runs else None, keep, schema.names)
+    fn = _numbering(len(group), None if amount is None else cols.index(amount), keep, schema.names)
     return cut(range_scan(df, [*[F.col(f"`{g}`").asc_nulls_first() for g in group], *order], fn, schema, partitions)), names
 
 
