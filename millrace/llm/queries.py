@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.mixing import mix, tidy
 from millrace.llm.quantiles import merge, percentiles, summarise
+from millrace.llm.splitting import split_items
+from millrace.llm.tokens import with_token_counts
 from millrace.llm.topn import top_n
+from millrace.session import cut
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,7 +51,56 @@ def p4_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("error_bound", F.lit(0.0))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top, p4_percentiles)}
+# --- problem 8
+
+
+def _mix(spark: SparkSession, folder: str, epochs: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """epochs: None for the largest mix that reaches every share, else the mix's size in multiples of the targeted sources' tokens."""
+    docs = table(spark, folder, "documents").select("doc_id", tidy(F.col("source")).alias("source"), tidy(F.col("lang")).alias("lang"), "text")
+    targets = table(spark, folder, "source_targets")
+    sized = cut(with_token_counts(docs, "text", ["doc_id", "source", "lang"]))
+    total = None
+    if epochs is not None:
+        total = epochs * (sized.join(F.broadcast(targets.select("source").limit(1000)), "source", "left_semi").agg(F.sum("n_tokens")).first()[0] or 0)
+    return mix(sized, targets, "doc_id", "source", "lang", "n_tokens", total=total)
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each notebook is used in the largest mix in which every source that has notebooks reaches its share."""
+    return _mix(spark, folder)[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares reached by that mix."""
+    return _mix(spark, folder)[1]
+
+
+def p8_shares_epoch(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares reached by a mix as large as the sources themselves: short sources are used max_repeats times and the others make up for them."""
+    return _mix(spark, folder, epochs=1.0)[1]
+
+
+# --- problem 9
+
+LIMIT, OVERLAP = 4096, 128
+
+
+def _pieces(spark: SparkSession, folder: str, carry_text: bool) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.col("cells.start_at").alias("starts"))
+    return split_items(docs, "doc_id", "text", "starts", LIMIT, OVERLAP, carry_text=carry_text)
+
+
+def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every notebook of more than 4,096 tokens."""
+    return _pieces(spark, folder, True)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Notebooks that had to be split."""
+    return _pieces(spark, folder, False).where("piece = 0").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_top, p4_percentiles, p8_mix, p8_shares, p8_shares_epoch, p9_found, p9_pieces)}
 
 _BEST = """with best as (select "user", movie, max(rating) as rating from ratings where "user" is not null and movie is not null and rating is not null group by 1, 2),
     placed as (select *, cast(row_number() over (partition by "user" order by rating desc, movie) as integer) as position from best)"""
