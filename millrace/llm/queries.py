@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.leakage import leaks
 from millrace.llm.mixing import mix, tidy
 from millrace.llm.quantiles import merge, percentiles, summarise
 from millrace.llm.splitting import split_items
@@ -51,6 +52,19 @@ def p4_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("error_bound", F.lit(0.0))
 
 
+# --- problem 7
+
+
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Notebooks and the test items that leaked into them, with the share of the item and whether its numbers, names or units were changed."""
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), "doc_id", "text", "item_id", "text")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Notebooks and items of whose words at least a third stand there in order."""
+    return p7_leaks(spark, folder).where("kind = 'same'").select("doc_id", "item_id")
+
+
 # --- problem 8
 
 
@@ -100,7 +114,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder, False).where("piece = 0").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top, p4_percentiles, p8_mix, p8_shares, p8_shares_epoch, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_top, p4_percentiles, p7_found, p7_leaks, p8_mix, p8_shares, p8_shares_epoch, p9_found, p9_pieces)}
 
 _BEST = """with best as (select "user", movie, max(rating) as rating from ratings where "user" is not null and movie is not null and rating is not null group by 1, 2),
     placed as (select *, cast(row_number() over (partition by "user" order by rating desc, movie) as integer) as position from best)"""
