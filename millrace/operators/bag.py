@@ -159,7 +159,7 @@ class Bag:
 
     def stratify_weighted(self, weights: list[float], seed: int = 0) -> list[Bag]:
         """A random split by weight. The list is checkpointed first: parts of one split must see the same rows in the same order."""
-        return [self._with(d) for d in cut(self.df).randomSplit(weights, seed)]
+        return [self._with(d) for d in cut(self.df).randomSplit([float(w) for w in weights], seed)]
 
     def parallel_do(self, fn: DoFn, schema: T.StructType | str, env: Scalar | None = None) -> Bag:
         """The general row function: none, one or many rows out for each row in, over Arrow batches. env: a scalar that is computed before and given to every call."""
@@ -510,7 +510,7 @@ class Grouped:
         return self.lists().map_keys(f)
 
     def keys(self) -> Bag:
-        return self.agg().keys()
+        return self.agg(F.count(F.lit(1)).alias(fresh(self.bag.df.columns, "n"))).keys()
 
     def values(self) -> Bag:
         return self.lists().values()

@@ -17,7 +17,7 @@ from millrace.sources.text import present
 
 def avro_available(spark: SparkSession) -> bool:
     try:
-        spark.sparkContext._jvm.java.lang.Class.forName("org.apache.spark.sql.avro.AvroFileFormat", False, spark.sparkContext._jvm.Thread.currentThread().getContextClassLoader())
+        spark.sparkContext._jvm.org.apache.spark.sql.execution.datasources.DataSource.lookupDataSource("avro", spark._jsparkSession.sessionState().conf())
     except Exception:
         return False
     return True
