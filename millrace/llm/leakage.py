@@ -43,10 +43,10 @@ def words(text: str) -> list[str]:
     """Words of a text without letter case, spacing, punctuation, escapes, entities, tags and comment marks."""
     text = text.lower()
     if "\\" in text:
-        text = _UNICODE.sub(lambda m: chr(int(m[1], 16)), text)
+        text = _UNICODE.sub(lambda m: chr(int(m[1], 16)).lower(), text)
         text = _ESCAPE.sub(" ", text)
     if "&" in text:
-        text = html.unescape(text)
+        text = html.unescape(text).lower()
     if "<" in text:
         text = _TAG.sub(" ", text)
     return _WORD.findall(text)
