@@ -84,7 +84,7 @@ def mix(
 
     Method: the weights of sources are propagated down a tree of source and leaf (leaves weigh what they hold); shortages go to siblings before ancestors. A leaf takes as many whole
     epochs as its budget holds and a token-prefix of one more epoch, whose order is a seeded hash; the prefix is found by a global sort on (leaf, hash) with prefix sums over
-    partitions, so a leaf of any size is many tasks. The record that crosses the budget is taken if that comes nearer to it.
+    partitions, so a leaf of any size is many tasks. The record that crosses a leaf's budget is taken where that brings its source nearer to its own.
 
     Defined results: records without tokens, with a null ident, or of a source without target are not used; a null leaf is a leaf. Idents are taken as given: a repeated ident is
     a record each time. Targets with a null source, share or repeats (or a repeated source) raise ValueError. Empty records give no uses and a report of zeros.
@@ -118,9 +118,21 @@ def mix(
     planned = used.join(budgets, (F.col("s") == F.col("ps")) & F.col("l").eqNullSafe(F.col("pl"))).drop("ps", "pl")
     rows, at = numbered(planned.withColumn("o", order), ["s", "l"], [F.col("o"), F.col("i")], amount="n")
     summed, offset = with_offsets(rows, chain(edges(rows, ["s", "l"], at["pid"], at["gid"], F.col("n"))), at["pid"], at["gid"])
-    upto = F.col(at["place"]) + F.col(offset)
-    nearer = (upto <= F.col("rest")) | ((upto - F.col("n") < F.col("rest")) & (upto - F.col("rest") < F.col("rest") - (upto - F.col("n"))))
-    chosen = summed.withColumn("times", F.col("whole") + nearer.cast("int")).where("times > 0")
+    summed = summed.withColumn("upto", F.col(at["place"]) + F.col(offset))
+    # the one record of a leaf that crosses its budget, one row per leaf at most: taken where that brings the source nearer to its own budget
+    crossing = summed.where("upto > rest and upto - n < rest").select("s", "l", "n", (F.col("rest") - (F.col("upto") - F.col("n"))).alias("short")).collect()
+    add = []
+    for name in tree:
+        own = sorted((r for r in crossing if r.s == name), key=lambda r: (-r.n, r.l is None, str(r.l)))
+        short = sum(r.short for r in own)
+        for r in own:
+            if r.n <= 2 * short:
+                add.append((r.s, r.l, True))
+                short -= r.n
+    adds = F.broadcast(spark.createDataFrame(add, T.StructType([T.StructField("as", kinds[source]), T.StructField("al", kinds[leaf]), T.StructField("added", T.BooleanType())])))
+    summed = summed.join(adds, (F.col("s") == F.col("as")) & F.col("l").eqNullSafe(F.col("al")), "left")
+    extra = (F.col("upto") <= F.col("rest")) | (F.col("added").isNotNull() & (F.col("upto") - F.col("n") < F.col("rest")))
+    chosen = summed.withColumn("times", F.col("whole") + extra.cast("int")).where("times > 0")
     uses = cut(chosen.select(F.col("i").alias(ident), F.col("s").alias(source), F.col("l").alias(leaf), F.col("n").alias(tokens), "times"))
     taken = {r[0]: (r[1], r[2]) for r in uses.groupBy(F.col(source)).agg(F.sum(F.col(tokens) * F.col("times")), F.max("times")).collect()}
     mixed = sum(v[0] for v in taken.values())
