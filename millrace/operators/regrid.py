@@ -45,6 +45,7 @@ def regrid(df: DataFrame, source: str, time: str, value: str, step: int = 3600,
     span = df.schema[time].dataType
     rows = df.select(F.col(f"`{source}`").alias("source"), F.col(f"`{time}`").cast("long").alias("time"), F.col(f"`{value}`").cast("double").alias("value"))
     rows = rows.where("source is not null and time is not null and value is not null and not isnan(value)")
+    rows = rows.withColumn("spread", F.xxhash64(F.monotonically_increasing_id()))  # so that copies of one reading don't all lie in one partition
     kind = df.schema[source].dataType
     schema = T.StructType(
         [
@@ -112,7 +113,7 @@ def regrid(df: DataFrame, source: str, time: str, value: str, step: int = 3600,
         if tail is not None:
             yield outer("last", pid, tail)
 
-    scanned = cut(range_scan(rows, [F.col("source").asc(), F.col("time").asc(), F.col("value").asc()], fn, schema, partitions))
+    scanned = cut(range_scan(rows, [F.col("source").asc(), F.col("time").asc(), F.col("value").asc(), F.col("spread")], fn, schema, partitions))
     spark = df.sparkSession
     # at most two rows per partition come to the driver
     ends: dict[int, dict] = {}
