@@ -116,7 +116,8 @@ def mix(
     budgets = F.broadcast(spark.createDataFrame(plan, T.StructType(fields)))
     order: Column = F.xxhash64(F.lit(seed), F.col("whole"), F.col("i"))
     planned = used.join(budgets, (F.col("s") == F.col("ps")) & F.col("l").eqNullSafe(F.col("pl"))).drop("ps", "pl")
-    rows, at = numbered(planned.withColumn("o", order), ["s", "l"], [F.col("o"), F.col("i")], amount="n")
+    spread = F.xxhash64(F.monotonically_increasing_id())  # so that records with one ident don't all lie in one partition
+    rows, at = numbered(planned.withColumn("o", order).withColumn("spread", spread), ["s", "l"], [F.col("o"), F.col("i"), F.col("spread")], amount="n")
     summed, offset = with_offsets(rows, chain(edges(rows, ["s", "l"], at["pid"], at["gid"], F.col("n"))), at["pid"], at["gid"])
     summed = summed.withColumn("upto", F.col(at["place"]) + F.col(offset))
     # the one record of a leaf that crosses its budget, one row per leaf at most: taken where that brings the source nearer to its own budget
