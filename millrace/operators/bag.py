@@ -424,6 +424,11 @@ class Scalar:
             return Scalar(spark.createDataFrame([(value,)], schema))
         return Scalar(spark.range(1).select(F.lit(value).alias("value")))
 
+    @staticmethod
+    def lazy(spark: SparkSession, thunk: Callable[[], Any], schema: str) -> Scalar:
+        """A value of one column that is computed only when it is run."""
+        return Scalar(Bag.lazy(spark, lambda: [(thunk(),)], schema).df)
+
     def map(self, *exprs: Expr) -> Scalar:
         return Scalar(self.df.select(*exprs), self.empty)
 

@@ -58,6 +58,14 @@ def sequence_object(spark: SparkSession, key: T.DataType, value: T.DataType, pat
     return Scalar(from_sequence(spark, key, value, path).df.limit(1), "raise")
 
 
+def sequence_key_object(spark: SparkSession, key: T.DataType, value: T.DataType, path: str) -> Scalar:
+    return sequence_object(spark, key, value, path).map("key")
+
+
+def sequence_value_object(spark: SparkSession, key: T.DataType, value: T.DataType, path: str) -> Scalar:
+    return sequence_object(spark, key, value, path).map("value")
+
+
 @dataclass(frozen=True)
 class SequenceSink:
     """key or value may be None: then only the other side is written, with a null beside it."""
@@ -95,8 +103,8 @@ def values_to_sequence(bag: Bag, path: str, overwrite: bool = False) -> Bag:
     return bag.add_sink(SequenceSink(path, None, bag.value, overwrite))
 
 
-def to_partitioned_sequence(bag: Bag, path: str, partition: str, overwrite: bool = False) -> Bag:
-    """One folder per value of the partition column. Spark has no writer that does this in one go, so partitions are written one after the other; more than MAX_PARTITIONS raise."""
+def to_partitioned_sequence(bag: Bag, path: str, partition: str, overwrite: bool = False, keys: bool = True, values: bool = True) -> Bag:
+    """One folder per value of the partition column, of keys and values or one of them. Spark has no writer that does this in one go, so partitions are written one after the other; more than MAX_PARTITIONS raise."""
 
     def write(df: DataFrame) -> None:
         held = df.persist()
@@ -105,7 +113,7 @@ def to_partitioned_sequence(bag: Bag, path: str, partition: str, overwrite: bool
             if len(parts) > MAX_PARTITIONS:
                 raise ValueError("too many partitions")
             for p in parts:
-                SequenceSink(f"{path}/{p}", bag.key, bag.value, overwrite)(held.where(F.col(partition).eqNullSafe(F.lit(p))))
+                SequenceSink(f"{path}/{p}", bag.key if keys else None, bag.value if values else None, overwrite)(held.where(F.col(partition).eqNullSafe(F.lit(p))))
         finally:
             held.unpersist()
 

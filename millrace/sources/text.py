@@ -51,6 +51,21 @@ def text_object(spark: SparkSession, path: str) -> Scalar:
     return Scalar(from_text(spark, path).df.limit(1), "raise")
 
 
+def delimited_object(spark: SparkSession, columns: dict[str, tuple[int, Callable[[Column], Column]]], path: str, separator: str = "\t") -> Scalar:
+    """The first line for which all columns are defined."""
+    return Scalar(from_delimited(spark, columns, path, separator=separator).df.limit(1), "raise")
+
+
+def codec_available(spark: SparkSession, codec: str) -> bool:
+    """Whether a compression codec (a short name such as gzip, or a class) is there."""
+    names = {"gzip": "GzipCodec", "bzip2": "BZip2Codec", "deflate": "DefaultCodec", "snappy": "SnappyCodec", "lz4": "Lz4Codec", "zstd": "ZStandardCodec"}
+    try:
+        spark.sparkContext._jvm.org.apache.hadoop.util.ReflectionUtils.newInstance(spark.sparkContext._jvm.java.lang.Class.forName(f"org.apache.hadoop.io.compress.{names[codec]}" if codec in names else codec), spark.sparkContext._jsc.hadoopConfiguration())
+    except Exception:
+        return False
+    return True
+
+
 def _flat(c: Column, kind: T.DataType, separator: str) -> Column:
     """A value as text: the fields of structs and the elements of arrays one behind the other."""
     if isinstance(kind, T.StructType):

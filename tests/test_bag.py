@@ -145,6 +145,8 @@ def test_lazy_list_is_not_touched_before_it_runs(spark):
         raise RuntimeError("run")
 
     Bag.lazy(spark, fails, "value int")
+    Scalar.lazy(spark, fails, "value int")
+    assert Scalar.lazy(spark, lambda: 42, "value int").run() == 42
     assert Bag.lazy(spark, lambda: [(1, "a"), (2, None)], "k int, v string").run() == [(1, "a"), (2, None)]
 
 

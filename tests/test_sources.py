@@ -23,6 +23,7 @@ def test_text_overwrite_and_compression(spark, tmp_path):
         persisting.persist(text.to_text(ints(spark, 4), out))
     persisting.persist(text.compressed(text.to_text(ints(spark, 4, 5), out, overwrite=True)))
     assert any(f.endswith(".gz") for f in os.listdir(out))
+    assert text.codec_available(spark, "gzip") and not text.codec_available(spark, "no.such.Codec")
     assert sorted(text.from_text(spark, out).run()) == ["4", "5"]
     assert text.text_object(spark, out).run() in ("4", "5")
     assert sorted(cat(spark, out)) == ["4", "5"] and len(ls(spark, str(tmp_path / "*"))) == 1
@@ -48,6 +49,7 @@ def test_delimited(spark, tmp_path):
     path.write_text("100,Ben,Lever,31\n101,Tom,Smith,old\n102,Rami\n,x,y,4\n103,Ann,Lee,40,,,\n")
     got = text.from_delimited(spark, {"id": (0, a_long), "first": (1, lambda c: c), "age": (3, an_int)}, str(path), separator=",")
     assert sorted(got.run()) == [(100, "Ben", 31), (103, "Ann", 40)]
+    assert text.delimited_object(spark, {"id": (0, a_long), "age": (3, an_int)}, str(path), ",").run() == (100, 31)
     rows = Bag.of(spark, [(1, (2, ["a", "b"]), None)], "k int, v struct<n:int,l:array<string>>, z string")
     persisting.persist(text.to_delimited(rows, str(tmp_path / "out"), ";"))
     assert text.from_text(spark, str(tmp_path / "out")).run() == ["1;2;a;b;"]
@@ -78,6 +80,7 @@ def test_sequences(spark, tmp_path):
     assert sorted(sequence.values_from_sequence(spark, T.NullType(), string, c).run()) == ["x", "y"]
     assert {r[1:] for r in sequence.from_sequence(spark, long, string, a, with_path=True).run()} == {(1, "x"), (2, "y")}
     assert sequence.sequence_object(spark, long, string, a).run() in ((1, "x"), (2, "y"))
+    assert sequence.sequence_key_object(spark, long, string, a).run() in (1, 2) and sequence.sequence_value_object(spark, long, string, a).run() in ("x", "y")
     with pytest.raises(FileExistsError):
         persisting.persist(sequence.to_sequence(rows, a))
     with pytest.raises(Exception, match="expected"):
