@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.session import BROADCAST_ROWS, cut, shuffle_partitions
+from millrace.session import BROADCAST_ROWS, cut
 
 
 def summarise(df: DataFrame, keys: list[str], value: str, resolution: float | None = None) -> DataFrame:
@@ -46,6 +47,8 @@ def rank_of(p: str, n: Column) -> Column:
 
 #: Candidates of a (group, percentile) at or below which the rest is settled in one step.
 SETTLE = 64
+#: Accuracy of a partition's proposal; its state is about so many numbers.
+SKETCH = 16
 
 
 def percentiles(summary: DataFrame, group: str, probabilities: dict[str, str], settle: int = SETTLE, blocks: int | None = None) -> DataFrame:
@@ -64,12 +67,10 @@ def percentiles(summary: DataFrame, group: str, probabilities: dict[str, str], s
     """
     if group in ("value", "cnt", "n") or group in probabilities:
         raise ValueError(f"rename the group column {group}")
-    spark = summary.sparkSession
-    blocks = blocks or shuffle_partitions(spark)
     base = summary.select(F.col(f"`{group}`").alias("g"), "value", "cnt")
     kind = summary.schema["value"].dataType
-    # a block of a group's values; proposals and counts are pre-aggregated by it, so a huge group is many tasks
-    data = cut(base.withColumn("block", F.pmod(F.xxhash64("value"), F.lit(blocks)).cast("int")))
+    # values lie in partitions by hash, so that a huge group is many tasks; a block is what one partition holds of a group, and proposes and counts as one
+    data = cut(base.repartition(blocks, "g", "value") if blocks else base).withColumn("block", F.spark_partition_id())
     total = data.groupBy("g", "block").agg(F.sum("cnt").alias("n")).groupBy("g").agg(F.sum("n").alias("n"))
     totals = cut(total)
     ranks = F.explode(F.array(*[F.struct(F.lit(name).alias("q"), rank_of(p, F.col("n")).alias("k")) for name, p in probabilities.items()]))
@@ -80,42 +81,30 @@ def percentiles(summary: DataFrame, group: str, probabilities: dict[str, str], s
     hint = F.broadcast if fits else (lambda d: d)
     targets = hint(state)
     active = cut(data.join(targets, both(data, targets)).select(data["g"], "q", "k", "block", "value", "cnt"))
-    found: DataFrame | None = None
+    found: list[DataFrame] = []
     while True:
-        # each partition's proposal: the middle of its candidates, and how many it has
-        proposals = active.groupBy("g", "q", "block").agg(F.percentile_approx("value", 0.5, 1000).cast(kind).alias("mid"), F.count(F.lit(1)).alias("w"))
+        # each partition's proposal: about the middle of its candidates (any candidate would do, a poor one costs rounds only), and how many it has
+        proposals = active.groupBy("g", "q", "block").agg(F.percentile_approx("value", 0.5, SKETCH).cast(kind).alias("mid"), F.count(F.lit(1)).alias("w"))
         sizes = proposals.groupBy("g", "q").agg(F.sum("w").alias("left"), F.array_sort(F.collect_list(F.struct("mid", "w"))).alias("mids"))  # as many as blocks
         pivot = F.aggregate("mids", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast(kind).alias("at")), lambda a, x: F.when(a["seen"] * 2 >= F.col("left"), a).otherwise(F.struct((a["seen"] + x["w"]).alias("seen"), x["mid"].alias("at"))), lambda a: a["at"])
-        pivots = cut(sizes.select("g", "q", "left", pivot.alias("pivot")))
-        done = pivots.where(F.col("left") <= settle)
-        last = active.join(hint(done), both(active, done) & (active["q"] == done["q"]), "left_semi")
+        pivots = hint(sizes.select(F.col("g").alias("vg"), F.col("q").alias("vq"), "left", pivot.alias("pivot")))
+        mine = F.col("g").eqNullSafe(F.col("vg")) & (F.col("q") == F.col("vq"))
+        side = lambda c: F.sum(F.when(c, F.col("cnt")).otherwise(0))
+        counts = active.join(pivots, mine).groupBy("vg", "vq", "k", "left", "pivot", "block").agg(side(F.col("value") < F.col("pivot")).alias("below"), side(F.col("value") == F.col("pivot")).alias("at"))
+        counts = counts.groupBy("vg", "vq", "k", "left", "pivot").agg(F.sum("below").alias("below"), F.sum("at").alias("at"))
+        upto = F.col("below") + F.col("at")
+        turn = F.when(F.col("left") <= settle, 2).when(F.col("k") <= F.col("below"), -1).when(F.col("k") <= upto, 0).otherwise(1)
+        verdict = cut(counts.select("vg", "vq", F.col("pivot").alias("vp"), turn.alias("turn"), F.when(F.col("k") <= F.col("below"), F.col("k")).otherwise(F.col("k") - upto).alias("nk")))
+        found.append(verdict.where("turn = 0").select(F.col("vg").alias("g"), F.col("vq").alias("q"), F.col("vp").alias("value")))
         # at most `settle` values each
         cum = F.aggregate("vs", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast(kind).alias("at")), lambda a, x: F.when(a["seen"] >= F.col("k"), a).otherwise(F.struct((a["seen"] + x["cnt"]).alias("seen"), x["value"].alias("at"))), lambda a: a["at"])
-        picked = last.groupBy("g", "q", "k").agg(F.array_sort(F.collect_list(F.struct("value", "cnt"))).alias("vs")).select("g", "q", cum.alias("value"))
-        open_ = pivots.where(F.col("left") > settle)
-        if open_.isEmpty():
-            found = picked if found is None else found.unionByName(picked)
-            break
-        p = hint(open_.select(F.col("g").alias("pg"), F.col("q").alias("pq"), "pivot"))
-        going = active.join(p, active["g"].eqNullSafe(F.col("pg")) & (active["q"] == F.col("pq"))).drop("pg", "pq")
-        side = lambda c: F.sum(F.when(c, F.col("cnt")).otherwise(0))
-        counts = going.groupBy("g", "q", "k", "pivot", "block").agg(side(F.col("value") < F.col("pivot")).alias("below"), side(F.col("value") == F.col("pivot")).alias("at"))
-        counts = counts.groupBy("g", "q", "k", "pivot").agg(F.sum("below").alias("below"), F.sum("at").alias("at"))
-        verdict = cut(
-            counts.select(
-                F.col("g").alias("vg"), F.col("q").alias("vq"), F.col("pivot").alias("vp"),
-                F.when(F.col("k") <= F.col("below"), -1).when(F.col("k") <= F.col("below") + F.col("at"), 0).otherwise(1).alias("turn"),
-                F.when(F.col("k") <= F.col("below"), F.col("k")).otherwise(F.col("k") - F.col("below") - F.col("at")).alias("nk"),
-            )
-        )
-        hit = picked.unionByName(verdict.where("turn = 0").select(F.col("vg").alias("g"), F.col("vq").alias("q"), F.col("vp").alias("value")))
-        found = hit if found is None else found.unionByName(hit)
-        v = hint(verdict.where("turn <> 0"))
-        rest = active.join(v, active["g"].eqNullSafe(F.col("vg")) & (active["q"] == F.col("vq")))
-        rest = rest.where(F.when(F.col("turn") < 0, F.col("value") < F.col("vp")).otherwise(F.col("value") > F.col("vp")))
-        if verdict.where("turn <> 0").isEmpty():
+        last = active.join(hint(verdict.where("turn = 2")), mine, "left_semi")
+        found.append(last.groupBy("g", "q", "k").agg(F.array_sort(F.collect_list(F.struct("value", "cnt"))).alias("vs")).select("g", "q", cum.alias("value")))
+        going = verdict.where("turn in (-1, 1)")
+        if going.isEmpty():
             break
+        rest = active.join(hint(going), mine).where(F.when(F.col("turn") < 0, F.col("value") < F.col("vp")).otherwise(F.col("value") > F.col("vp")))
         active = cut(rest.select("g", "q", F.col("nk").alias("k"), "block", "value", "cnt"))
-    wide = found.groupBy("g").agg(*[F.max(F.when(F.col("q") == name, F.col("value"))).alias(name) for name in probabilities])
+    wide = functools.reduce(DataFrame.unionByName, found).groupBy("g").agg(*[F.max(F.when(F.col("q") == name, F.col("value"))).alias(name) for name in probabilities])
     joined = totals.join(wide.withColumnRenamed("g", "wg"), totals["g"].eqNullSafe(F.col("wg")))
     return joined.select(F.col("g").alias(group), "n", *probabilities)
