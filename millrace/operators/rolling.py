@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.ordered import any_changed
+from millrace.session import cut
 
 
 def calendar_day(number: Column) -> Column:
@@ -56,7 +57,7 @@ def rolling_totals(df: DataFrame, entity: str, day: str, value: str, windows: tu
     e, v = F.col(f"`{entity}`"), F.col(f"`{value}`").cast("double")
     used = df.select(e.alias("entity"), F.col(f"`{day}`").cast("int").alias("day"), v.alias("value"))
     used = used.where("entity is not null and day is not null and value is not null and not isnan(value) and abs(value) < double('infinity')")
-    daily = used.groupBy("entity", "day").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    daily = cut(used.groupBy("entity", "day").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")))  # read twice below
     tile = F.floor(F.col("day") / tile_days).cast("int")
     last_days = F.col("day") - tile * tile_days >= tile_days - halo
     rows = daily.select("entity", F.explode(F.when(F.lit(halo > 0) & last_days, F.array(tile, tile + 1)).otherwise(F.array(tile))).alias("tile"), "day", "n", "total")
