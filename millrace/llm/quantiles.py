@@ -45,22 +45,26 @@ def rank_of(p: str, n: Column) -> Column:
     return F.greatest(F.expr("1L"), F.ceil((n * F.lit(int(q * scale)) / F.lit(scale)).cast("decimal(38,12)")).cast("long"))
 
 
-#: Candidates of a (group, percentile) at or below which the rest is settled in one step.
+#: Candidates of a range at or below which the rest is settled in one step.
 SETTLE = 64
 #: Accuracy of a partition's proposal; its state is about so many numbers.
 SKETCH = 16
 
 
+def _same(g: str, other_g: str, r: str, other_r: str) -> Column:
+    return F.col(g).eqNullSafe(F.col(other_g)) & (F.col(r) == F.col(other_r))
+
+
 def percentiles(summary: DataFrame, group: str, probabilities: dict[str, str], settle: int = SETTLE, blocks: int | None = None) -> DataFrame:
     """Percentiles of every group from a summary (group, value, cnt): ``group, n`` and a column for each of ``probabilities`` (name to decimal text).
 
     A percentile p is the least value whose cumulated count reaches ceil(p * n), so it is a value of the data; its rank error is zero, and its
     value error is half the summary's resolution (zero without one).
 
-    Method: multi-selection. The candidates of every (group, percentile) lie in partitions; each partition proposes the median of its candidates, the
-    weighted median of the proposals becomes the pivot, candidates are counted three ways (below, at, above it), the ruled-out ranges are discarded
-    and the rest goes into the next round, for all groups and percentiles at once. At least a quarter of the candidates of each goes in every round. What
-    has ``settle`` candidates or fewer left is picked directly.
+    Method: multi-selection. The candidates of every group's open ranges lie in partitions; each partition proposes the median of its candidates of a range, the
+    weighted median of the proposals becomes the range's pivot, candidates are counted three ways (below, at, above it), and the range splits: a side in which no percentile
+    is sought is discarded, the others go into the next round, for all groups and percentiles at once. Percentiles that are still in one range share its candidates, so there
+    are never more candidates than values. A range with ``settle`` candidates or fewer is settled by looking at them.
 
     Defined results: a null group is a group; groups without values are not in the result; an empty summary gives an empty result. ``group`` may not be called
     value, cnt, n or like a percentile.
@@ -69,42 +73,47 @@ def percentiles(summary: DataFrame, group: str, probabilities: dict[str, str], s
         raise ValueError(f"rename the group column {group}")
     base = summary.select(F.col(f"`{group}`").alias("g"), "value", "cnt")
     kind = summary.schema["value"].dataType
-    # values lie in partitions by hash, so that a huge group is many tasks; a block is what one partition holds of a group, and proposes and counts as one
-    data = cut(base.repartition(blocks, "g", "value") if blocks else base).withColumn("block", F.spark_partition_id())
-    total = data.groupBy("g", "block").agg(F.sum("cnt").alias("n")).groupBy("g").agg(F.sum("n").alias("n"))
-    totals = cut(total)
-    ranks = F.explode(F.array(*[F.struct(F.lit(name).alias("q"), rank_of(p, F.col("n")).alias("k")) for name, p in probabilities.items()]))
-    state = totals.select("g", ranks.alias("x")).select("g", "x.q", "x.k")
-    both = lambda a, b: a["g"].eqNullSafe(b["g"])
+    names = list(probabilities)
+    # values lie in partitions by hash, so that a huge group is many tasks; a block is what one partition holds of a range, and proposes and counts as one
+    data = cut(base.repartition(blocks, "g", "value") if blocks else base)
+    totals = cut(data.groupBy("g").agg(F.sum("cnt").alias("n")))
     # every table joined to the candidates below has at most this many rows; beyond the limit they are shuffled
-    fits = totals.count() * len(probabilities) <= BROADCAST_ROWS
-    hint = F.broadcast if fits else (lambda d: d)
-    targets = hint(state)
-    active = cut(data.join(targets, both(data, targets)).select(data["g"], "q", "k", "block", "value", "cnt"))
+    hint = F.broadcast if totals.count() * len(names) <= BROADCAST_ROWS else (lambda d: d)
+    # a range of a group's values is named by the first percentile sought in it; a value is in one range at most
+    active = data.withColumn("r", F.lit(0)).withColumn("block", F.spark_partition_id())
+    sought = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), rank_of(p, F.col("n")).alias("k")) for q, p in enumerate(probabilities.values())]))
+    state = totals.select(F.col("g").alias("sg"), F.lit(0).alias("sr"), sought.alias("x")).select("sg", "sr", "x.q", "x.k")
     found: list[DataFrame] = []
     while True:
         # each partition's proposal: about the middle of its candidates (any candidate would do, a poor one costs rounds only), and how many it has
-        proposals = active.groupBy("g", "q", "block").agg(F.percentile_approx("value", 0.5, SKETCH).cast(kind).alias("mid"), F.count(F.lit(1)).alias("w"))
-        sizes = proposals.groupBy("g", "q").agg(F.sum("w").alias("left"), F.array_sort(F.collect_list(F.struct("mid", "w"))).alias("mids"))  # as many as blocks
+        proposals = active.groupBy("g", "r", "block").agg(F.percentile_approx("value", 0.5, SKETCH).cast(kind).alias("mid"), F.count(F.lit(1)).alias("w"))
+        sizes = proposals.groupBy("g", "r").agg(F.sum("w").alias("left"), F.array_sort(F.collect_list(F.struct("mid", "w"))).alias("mids"))  # as many as blocks
         pivot = F.aggregate("mids", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast(kind).alias("at")), lambda a, x: F.when(a["seen"] * 2 >= F.col("left"), a).otherwise(F.struct((a["seen"] + x["w"]).alias("seen"), x["mid"].alias("at"))), lambda a: a["at"])
-        pivots = hint(sizes.select(F.col("g").alias("vg"), F.col("q").alias("vq"), "left", pivot.alias("pivot")))
-        mine = F.col("g").eqNullSafe(F.col("vg")) & (F.col("q") == F.col("vq"))
+        pivots = hint(sizes.select(F.col("g").alias("pg"), F.col("r").alias("pr"), "left", pivot.alias("pivot")))
         side = lambda c: F.sum(F.when(c, F.col("cnt")).otherwise(0))
-        counts = active.join(pivots, mine).groupBy("vg", "vq", "k", "left", "pivot", "block").agg(side(F.col("value") < F.col("pivot")).alias("below"), side(F.col("value") == F.col("pivot")).alias("at"))
-        counts = counts.groupBy("vg", "vq", "k", "left", "pivot").agg(F.sum("below").alias("below"), F.sum("at").alias("at"))
+        counts = active.join(pivots, _same("g", "pg", "r", "pr")).groupBy("g", "r", "left", "pivot", "block").agg(side(F.col("value") < F.col("pivot")).alias("below"), side(F.col("value") == F.col("pivot")).alias("at"))
+        counts = counts.groupBy("g", "r", "left", "pivot").agg(F.sum("below").alias("below"), F.sum("at").alias("at"))
         upto = F.col("below") + F.col("at")
         turn = F.when(F.col("left") <= settle, 2).when(F.col("k") <= F.col("below"), -1).when(F.col("k") <= upto, 0).otherwise(1)
-        verdict = cut(counts.select("vg", "vq", F.col("pivot").alias("vp"), turn.alias("turn"), F.when(F.col("k") <= F.col("below"), F.col("k")).otherwise(F.col("k") - upto).alias("nk")))
-        found.append(verdict.where("turn = 0").select(F.col("vg").alias("g"), F.col("vq").alias("q"), F.col("vp").alias("value")))
-        # at most `settle` values each
-        cum = F.aggregate("vs", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast(kind).alias("at")), lambda a, x: F.when(a["seen"] >= F.col("k"), a).otherwise(F.struct((a["seen"] + x["cnt"]).alias("seen"), x["value"].alias("at"))), lambda a: a["at"])
-        last = active.join(hint(verdict.where("turn = 2")), mine, "left_semi")
-        found.append(last.groupBy("g", "q", "k").agg(F.array_sort(F.collect_list(F.struct("value", "cnt"))).alias("vs")).select("g", "q", cum.alias("value")))
+        rank = F.when(F.col("turn") == 1, F.col("k") - upto).otherwise(F.col("k"))
+        judged = counts.join(hint(state), _same("g", "sg", "r", "sr")).withColumn("turn", turn)
+        verdict = cut(judged.select(F.col("g").alias("vg"), F.col("r").alias("vr"), "q", rank.alias("k"), "turn", "pivot"))
+        found.append(verdict.where("turn = 0").select(F.col("vg").alias("g"), "q", F.col("pivot").alias("value")))
+        # what is left of a settled range: at most `settle` values
+        settled = verdict.where("turn = 2")
+        ranges = hint(settled.select("vg", "vr").distinct())
+        rest = active.join(ranges, _same("g", "vg", "r", "vr"), "left_semi").groupBy("g", "r").agg(F.array_sort(F.collect_list(F.struct("value", "cnt"))).alias("vs"))
+        pick = F.aggregate("vs", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast(kind).alias("at")), lambda a, x: F.when(a["seen"] >= F.col("k"), a).otherwise(F.struct((a["seen"] + x["cnt"]).alias("seen"), x["value"].alias("at"))), lambda a: a["at"])
+        found.append(rest.join(hint(settled), _same("g", "vg", "r", "vr")).select("g", "q", pick.alias("value")))
         going = verdict.where("turn in (-1, 1)")
         if going.isEmpty():
             break
-        rest = active.join(hint(going), mine).where(F.when(F.col("turn") < 0, F.col("value") < F.col("vp")).otherwise(F.col("value") > F.col("vp")))
-        active = cut(rest.select("g", "q", F.col("nk").alias("k"), "block", "value", "cnt"))
-    wide = functools.reduce(DataFrame.unionByName, found).groupBy("g").agg(*[F.max(F.when(F.col("q") == name, F.col("value"))).alias(name) for name in probabilities])
+        # ruled-out sides are those where nothing is sought
+        low, high = (F.min(F.when(F.col("turn") == t, F.col("q"))) for t in (-1, 1))
+        sides = going.groupBy("vg", "vr").agg(F.first("pivot").alias("pivot"), low.alias("low"), high.alias("high"))
+        into = F.when(F.col("value") < F.col("pivot"), F.col("low")).when(F.col("value") > F.col("pivot"), F.col("high"))
+        state = going.alias("s").join(hint(sides.select(F.col("vg").alias("ng"), F.col("vr").alias("nr"), "low", "high")), _same("vg", "ng", "vr", "nr")).select(F.col("vg").alias("sg"), F.when(F.col("turn") < 0, F.col("low")).otherwise(F.col("high")).alias("sr"), "q", "k")
+        active = cut(active.join(hint(sides), _same("g", "vg", "r", "vr")).withColumn("r", into).where("r is not null").select("g", "r", "value", "cnt", "block"))
+    wide = functools.reduce(DataFrame.unionByName, found).groupBy("g").agg(*[F.max(F.when(F.col("q") == q, F.col("value"))).alias(name) for q, name in enumerate(names)])
     joined = totals.join(wide.withColumnRenamed("g", "wg"), totals["g"].eqNullSafe(F.col("wg")))
     return joined.select(F.col("g").alias(group), "n", *probabilities)
