@@ -122,11 +122,10 @@ def implausible(
     kinds = {c: df.schema[c].dataType for c in (source, time, value)}
     rows = df.select(F.col(f"`{source}`").alias("source"), F.col(f"`{time}`").cast("long").alias("time"), F.col(f"`{value}`").cast("double").alias("value"))
     rows = rows.where("source is not null and time is not null and value is not null and not isnan(value)")
-    outside = rows.where((F.col("value") < low) | (F.col("value") > high)).distinct().withColumn("reason", F.lit("range"))
-    inside = rows.where((F.col("value") >= low) & (F.col("value") <= high)).distinct()
+    rows = rows.distinct()
     schema = T.StructType(
         [
-            T.StructField("kind", T.StringType()),  # row: a reading; run: a run (time..until, n readings); count: n readings of which runs begin
+            T.StructField("kind", T.StringType()),  # bad: a reading outside the limits; row: one inside; run: a run (time..until, n readings); count: n readings of which runs begin
             T.StructField("source", kinds[source]),
             T.StructField("time", T.LongType()),
             T.StructField("value", T.DoubleType()),
@@ -148,6 +147,12 @@ def implausible(
         last, gid, carry = None, -1, 0
         held = None  # the open run: source, value, first time, last time, readings, whether it opens the partition
         for b in batches:
+            bad = (b.column(2).to_numpy() < low) | (b.column(2).to_numpy() > high)
+            if bad.any():
+                off, b = b.filter(pa.array(bad)), b.filter(pa.array(~bad))
+                yield out("bad", off.column(0), off.column(1).to_numpy(), off.column(2).to_numpy(), 0, 0, 0, 1, 0)
+                if not b.num_rows:
+                    continue
             n, src, t, v = b.num_rows, b.column(0), b.column(1).to_numpy(), b.column(2).to_numpy()
             starts = any_changed([src], last and last[:1])
             new = starts | any_changed([b.column(2)], last and last[2:3])
@@ -180,7 +185,7 @@ def implausible(
             yield out("run", held[0], held[2], held[1], 2 + int(held[5]), 0, held[3], held[4], 0)  # gid of a run: 1 it opens, 2 it ends its partition, 3 both
 
     spark = df.sparkSession
-    scanned = cut(range_scan(inside, [F.col("source").asc(), F.col("time").asc(), F.col("value").asc()], scan, schema, partitions))
+    scanned = cut(range_scan(rows, [F.col("source").asc(), F.col("time").asc(), F.col("value").asc()], scan, schema, partitions))
 
     # runs at partition edges: at most two rows per partition come to the driver and are joined up there
     outer = scanned.where("kind = 'run' and gid > 0").select("pid", "gid", "source", "value", "time", "until", "n").collect()
@@ -233,6 +238,7 @@ def implausible(
             if hit.any():
                 yield pa.RecordBatch.from_arrays([g.column(k).filter(pa.array(hit)) for k in (0, 2, 3)], found.names)
 
+    outside = scanned.where("kind = 'bad'").select("source", "time", "value").withColumn("reason", F.lit("range"))
     parts = [outside, stuck.select("source", "time", "value").withColumn("reason", F.lit("frozen")), tiled.mapInArrow(spikes, found).withColumn("reason", F.lit("spike"))]
     both = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return both.select(F.col("source").alias(source), F.col("time").cast(kinds[time]).alias(time), F.col("value").cast(kinds[value]).alias(value), "reason")
