@@ -204,6 +204,14 @@ def product(spark, folder):
     return early.map((1 + F.col("l_discount")).alias("value")).product().map(F.round(F.col("value") / 1e9, 6).alias("p")).df
 
 
+@query("select round(coalesce(exp(100 * avg(ln(1 + l_discount))), 1), 6) as p from lineitem")
+def product_whole(spark, folder):
+    """The product over all rows, each factor raised to 100 / n so that it stays finite at any size."""
+    rows = bag(spark, folder, "lineitem", "l_discount")
+    powers = rows.count("l_discount is not null").map(F.col("value").alias("n")).join(rows).filter("l_discount is not null")
+    return powers.map(F.pow(1 + F.col("l_discount"), 100 / F.col("n")).alias("value")).product().map(F.round("value", 6).alias("p")).df
+
+
 @query("select count(*) as n, count(*) filter (where rating >= 9) as high from ratings")
 def length_and_count(spark, folder):
     r = bag(spark, folder, "ratings", "rating")
