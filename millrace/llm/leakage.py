@@ -84,11 +84,10 @@ def window_hashes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, content[WINDOW:] - content[:-WINDOW] >= CONTENT
 
 
-def in_order(doc: np.ndarray, item: np.ndarray, far: int) -> tuple[int, np.ndarray]:
-    """Matches (word of the text, word of the item): the most that can be kept with both ascending and no step over ``far`` words of the text. Returns how many, and which."""
+def chains(doc: np.ndarray, item: np.ndarray, far: int) -> Iterator[np.ndarray]:
+    """Matches (word of the text, word of the item): of each stretch without a step over ``far`` words of the text, which of them make the most that can be kept with both ascending."""
     order = np.lexsort((-item, doc))
     doc, item = doc[order], item[order]
-    best: list[int] = []
     for a, b in _stretches(doc, far):
         tails: list[int] = []
         ends: list[int] = []
@@ -101,13 +100,58 @@ def in_order(doc: np.ndarray, item: np.ndarray, far: int) -> tuple[int, np.ndarr
                 ends.append(k - a)
             else:
                 tails[p], ends[p] = int(item[k]), k - a
-        if len(tails) > len(best):
-            k, chain = ends[-1], []
-            while k >= 0:
-                chain.append(k + a)
-                k = int(back[k])
-            best = chain[::-1]
-    return len(best), order[np.array(best, int)] if best else np.zeros(0, int)
+        k, chain = ends[-1] if ends else -1, []
+        while k >= 0:
+            chain.append(k + a)
+            k = int(back[k])
+        yield order[np.array(chain[::-1], int)]
+
+
+def in_order(doc: np.ndarray, item: np.ndarray, far: int) -> tuple[int, np.ndarray]:
+    """The longest of the chains: how many matches, and which."""
+    best = max(chains(doc, item, far), key=len)
+    return len(best), best
+
+
+def _faithful(doc: np.ndarray, item: np.ndarray, equal: np.ndarray, slot: np.ndarray, slots_equal: float) -> np.ndarray:
+    """Which matches lie in runs of one shift between text and item, of at least two windows' equal words, whose own slots agree."""
+    shift = doc - item
+    order = np.lexsort((doc, shift))
+    new = (np.diff(shift[order]) != 0) | (np.diff(doc[order]) > 2 * WINDOW)
+    run = np.zeros(len(doc), np.int64)
+    run[order] = np.concatenate([[0], np.cumsum(new)])
+    slots, agreed, words_ = (np.bincount(run, weights=w) for w in (slot, slot & equal, equal))
+    return np.flatnonzero(((slots > 0) & (agreed >= slots_equal * slots) & (words_ >= 2 * WINDOW))[run])
+
+
+def verdict(doc: np.ndarray, item: np.ndarray, has: np.ndarray, own: np.ndarray, slot: np.ndarray, length: int, least: float, template: float, slots_equal: float, far: int) -> tuple[float, float, float, str] | None:
+    """(share, template_share, slot_agreement, kind) of a text and an item, or None. doc, item: places of the words that some matched windows bring together; has, own: their codes; slot: whether the item's word is one.
+
+    Every stretch of the text is judged on its own, as a whole and by its runs of agreeing slots only, so that a look-alike does not hide a passage that stands beside it; the best verdict holds.
+    """
+    equal = has == own
+    order = np.argsort(doc, kind="stable")
+    same, changed = [], []
+    for a, b in _stretches(doc[order], far):
+        whole = order[a:b]
+        for rows in (whole, whole[_faithful(doc[whole], item[whole], equal[whole], slot[whole], slots_equal)]):
+            if len(rows) < least * length:
+                continue
+            e = rows[equal[rows]]
+            share = in_order(doc[e], item[e], far)[0] / length
+            every, chain = in_order(doc[rows], item[rows], far)
+            chain = rows[chain]
+            inside = chain[slot[chain]]
+            agree = float(np.mean(equal[inside])) if len(inside) else 1.0
+            if share >= least and agree >= slots_equal:
+                same.append((share, every / length, agree, "same"))
+            elif every / length >= template:
+                values: dict[int, set] = {}
+                for u, v in zip(own[chain].tolist(), has[chain].tolist(), strict=True):
+                    values.setdefault(u, set()).add(v)
+                if all(len(v) == 1 for v in values.values()):
+                    changed.append((share, every / length, agree, "reparameterised"))
+    return max(same) if same else max(changed, key=lambda r: r[1]) if changed else None
 
 
 def _stretches(doc: np.ndarray, far: int) -> Iterator[tuple[int, int]]:
@@ -153,7 +197,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id
 
     Method: texts and items are brought to words, numbers, names and units become typed placeholders, and windows of five are hashed. Windows of texts that can't be an item's are dropped by a bitmap
     of bounded size; the rest meets the items' windows in a hash join. What a join brings together is one text's words beside one item's; the slots of the matched windows then
-    decide which words really are equal, and the pair is judged by its longest ascending chain.
+    decide which words really are equal. Each stretch of the text without a step over ``far`` words is judged by its longest ascending chains, and again by those of its runs whose own slots agree;
+    the pair is reported if one of them is a leak, with the figures of the one of greatest share.
 
     Defined results: null and empty texts have no pairs, nor have items of fewer than five words. Items with equal passages are both reported. A repeated or null doc_id is a text of its own each time,
     so a pair may then occur twice. Texts of any length are read whole. Extra columns are left out.
@@ -245,18 +290,10 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id
                 x, y = a[rows].ravel(), b[rows].ravel()
                 _, once = np.unique(p * (1 << 24) + i, return_index=True)
                 p, i, x, y = p[once], i[once], x[once], y[once]
-                eq = np.flatnonzero(x == y)
-                share = in_order(p[eq], i[eq], far)[0] / length[w]
-                every, chain = in_order(p, i, far)
-                slots: dict[int, set] = {}
-                for u, v in zip(y[chain].tolist(), x[chain].tolist(), strict=True):
-                    slots.setdefault(u, set()).add(v)
-                slot = kinds_[np.maximum(y[chain], 0)] < FIRST
-                agree = float(np.mean(x[chain][slot] == y[chain][slot])) if slot.any() else 1.0
-                kind = "same" if share >= least and agree >= slots_equal else "reparameterised" if every / length[w] >= template and all(len(v) == 1 for v in slots.values()) else None
-                if kind:
+                found_ = verdict(p, i, x, y, kinds_[np.maximum(y, 0)] < FIRST, int(length[w]), least, template, slots_equal, far)
+                if found_:
                     r = int(rows[0])
-                    yield pa.RecordBatch.from_arrays([g.column(1).slice(r, 1), g.column(4).slice(r, 1), pa.array([share]), pa.array([every / length[w]]), pa.array([agree]), pa.array([kind])], out.names)
+                    yield pa.RecordBatch.from_arrays([g.column(1).slice(r, 1), g.column(4).slice(r, 1), *(pa.array([v]) for v in found_)], out.names)
 
     found = met.mapInArrow(judge, out)
     return found.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "share", "template_share", "slot_agreement", "kind")

@@ -71,3 +71,21 @@ def test_changed_values_are_reported_as_such(spark):
 @pytest.mark.parametrize(("docs", "items"), [([], [(1, ITEM + "x " * 50)]), ([(1, "a b c d e f g")], []), ([], [])])
 def test_nothing(spark, docs, items):
     assert found(spark, docs, items) == []
+
+
+def look_alike(text):
+    """The same words with other names and numbers."""
+    for a, b in (("Orda", "Zulpin"), ("Tavel", "Brimo"), ("Kamar", "Quell"), ("Wengol", "Ysolt")):
+        text = text.replace(a, b)
+    return " ".join(str(int(x) % 89 + 110 + k) if x.isdigit() else x for k, x in enumerate(text.split(" ")))
+
+
+@pytest.mark.parametrize("apart", [0, 1, 6, 25])
+@pytest.mark.parametrize("part", ["first", "last"])
+def test_look_alike_does_not_hide_a_passage(spark, apart, part):
+    p = passage(5)
+    w = p.split(" ")
+    half = " ".join(w[: len(w) // 2] if part == "first" else w[len(w) // 2 :])
+    gap = " " + FILLER * apart
+    docs = [(1, half), (2, look_alike(p)), (3, half + gap + look_alike(p)), (4, look_alike(p) + gap + half), (5, look_alike(p) + gap + look_alike(p))]
+    assert found(spark, docs, [(1, ITEM + p)]) == [(1, 1), (3, 1), (4, 1)]
