@@ -51,10 +51,7 @@ def boundaries(text: str, starts: list[int] | None, token_ends: np.ndarray, gap:
         edge = np.concatenate([[0], strong])
         for k in wide.tolist():
             inside = places[np.searchsorted(places, edge[k], side="right") : np.searchsorted(places, edge[k + 1])]
-            # about one place every gap / 4 tokens is enough
-            rank = np.searchsorted(token_ends, inside, side="right") // max(1, gap // 4)
-            keep = inside[np.concatenate([[True], rank[1:] != rank[:-1]])] if len(inside) else inside
-            level[keep] = np.maximum(level[keep], kind)
+            level[inside] = np.maximum(level[inside], kind)
 
     strong = np.flatnonzero(level)
     if np.diff(np.searchsorted(token_ends, np.concatenate([[0], strong]), side="right")).max(initial=0) > gap:
@@ -64,6 +61,13 @@ def boundaries(text: str, starts: list[int] | None, token_ends: np.ndarray, gap:
     return at, level[at].astype(int) - 1
 
 
+def _white(text: str) -> np.ndarray:
+    """Which characters are white space."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    seen = np.flatnonzero(np.bincount(codes, minlength=1))
+    return np.isin(codes, [c for c in seen.tolist() if chr(c).isspace()])
+
+
 def cuts_by_doubling(successor: np.ndarray) -> np.ndarray:
     """The nodes on the way from node 0 to the last node, given each node's successor: the table is squared until it leads from 0 to the end."""
     path, jump, end = np.array([0]), successor, len(successor) - 1
@@ -76,8 +80,8 @@ def cuts_by_doubling(successor: np.ndarray) -> np.ndarray:
 def split(text: str, starts: list[int] | None, limit: int, overlap: int, path: str = tok.RANKS, fill: float = 0.5) -> list[tuple[int, int, int, str]]:
     """Pieces (start, end, tokens, kind of the boundary at the end) of a text; one piece if it is within the limit. Places are in characters.
 
-    Every piece, tokenised on its own, has at most ``limit`` tokens. The strongest kind of boundary that leaves a piece at least ``fill`` full is taken,
-    the farthest of that kind. A piece begins ``overlap`` tokens (or, inside a character, the least number more) before the end of the piece before it.
+    Every piece, tokenised on its own, has at most ``limit`` tokens. The strongest of cell, paragraph and line that leaves a piece at least ``fill`` full is taken,
+    the farthest of that kind; where none does, the farthest of the three that is more than the overlap on, and only without such a one a blank or a token's end. A piece begins ``overlap`` tokens (or, inside a character, the least number more) before the end of the piece before it.
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("overlap must be less than half the limit")
@@ -102,42 +106,48 @@ def split(text: str, starts: list[int] | None, limit: int, overlap: int, path: s
     hi = np.searchsorted(place_of, at, side="left")  # tokens needed to get there
     begin = back[np.maximum(lo - overlap, 0)]  # token at which a piece begins that follows a cut here
     begin[0] = 0
-    safe = np.array([m == 0 or m == len(text) or (not text[m - 1].isspace() and text[m].isspace()) for m in at.tolist()])
+    white = _white(text)
+    edge = (at == 0) | (at == len(text))
+    safe = edge | (~white[np.maximum(at - 1, 0)] & white[np.minimum(at, len(text) - 1)])
+    safe_at, safe_lo = at[safe], lo[safe]
     for slack in (8, 32, 128, limit // 4, limit // 2):
         successor = _successors(lo, hi, kind, begin, limit - slack, int(fill * limit))
         nodes = cuts_by_doubling(successor)
         pieces = []
         for a, b in zip(nodes[:-1].tolist(), nodes[1:].tolist(), strict=True):
             s, e = int(place_of[begin[a]]) if a else 0, int(at[b])
-            pieces.append((s, e, _tokens(text, s, e, at, safe, lo, path), KINDS[kind[b]]))
+            pieces.append((s, e, _tokens(text, s, e, safe_at, safe_lo, path), KINDS[kind[b]]))
         if all(p[2] <= limit for p in pieces):
             return pieces
     raise AssertionError("a piece is beyond the limit")
 
 
 def _successors(lo: np.ndarray, hi: np.ndarray, kind: np.ndarray, begin: np.ndarray, most: int, least: int) -> np.ndarray:
-    """Joins every boundary to its farthest legal successor: the strongest kind first, at least ``least`` tokens on; otherwise whatever is farthest."""
+    """Joins every boundary to its farthest legal successor: the strongest natural kind first, at least ``least`` tokens on; then any natural one
+    with which the next piece begins later; then a blank at least ``least`` on; otherwise whatever is farthest."""
     n = len(lo)
     reach = np.searchsorted(hi, begin + most, side="right") - 1  # the farthest boundary of any kind
     out = np.maximum(reach, np.minimum(np.arange(n) + 1, n - 1))
     undecided = out < n - 1
-    for k in range(len(KINDS) - 2, 0, -1):
-        own = np.flatnonzero(kind == k)
+    natural, blank = KINDS.index("line"), KINDS.index("space")
+    steps = [(kind == k, least) for k in range(len(KINDS) - 2, natural - 1, -1)] + [((kind >= natural) & (kind < len(KINDS) - 1), None), (kind == blank, least)]
+    for some, on in steps:
+        own = np.flatnonzero(some)
         if len(own):
             last = np.searchsorted(own, reach, side="right") - 1
             candidate = own[np.maximum(last, 0)]
-            take = undecided & (last >= 0) & (candidate > np.arange(n)) & (lo[candidate] - begin >= least)
+            enough = begin[candidate] > begin if on is None else lo[candidate] - begin >= on
+            take = undecided & (last >= 0) & (candidate > np.arange(n)) & enough
             out[take] = candidate[take]
             undecided &= ~take
     return out
 
 
-def _tokens(text: str, s: int, e: int, at: np.ndarray, safe: np.ndarray, lo: np.ndarray, path: str) -> int:
+def _tokens(text: str, s: int, e: int, at: np.ndarray, lo: np.ndarray, path: str) -> int:
     """Tokens of text[s:e] on its own: only what lies outside the first and last safe boundary is tokenised again."""
-    inside = np.flatnonzero(safe & (at >= s) & (at <= e))
-    if len(inside) < 2:
+    g, h = np.searchsorted(at, s), np.searchsorted(at, e, side="right") - 1
+    if h <= g:
         return tok.count(text[s:e], path)
-    g, h = inside[0], inside[-1]
     return tok.count(text[s : at[g]], path) * (s < at[g]) + int(lo[h] - lo[g]) + tok.count(text[at[h] : e], path) * (at[h] < e)
 
 

@@ -75,3 +75,16 @@ def test_items(spark):
 def test_counts(spark):
     df = spark.createDataFrame([(1, "a b c"), (2, None), (3, "")], "id int, text string")
     assert {r.id: r.n_tokens for r in tok.with_token_counts(df, "text", ["id"]).collect()} == {1: 3, 2: 0, 3: 0}
+
+
+@pytest.mark.parametrize("blob", ["QUJD" * 4000, "0.125 " * 3000])
+def test_lines_before_a_huge_line_end_a_piece(blob):
+    lines = "".join(f"value_{k} = load({k})\n" for k in range(12))
+    pieces = check(lines + blob + "\n" + lines, None, 300, 20)
+    at = len(lines) - 1
+    assert (pieces[0][1], pieces[0][3]) == (at, "line") and tok.count(lines[:at]) < 150
+
+
+def test_pieces_between_boundaries_are_as_long_as_can_be():
+    for p in check("x" + "ab1" * 30000, None, 300, 20)[:-1]:
+        assert p[2] >= 300 - 8 - 6
