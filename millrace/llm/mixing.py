@@ -72,6 +72,7 @@ def mix(
     share: str = "target_share",
     repeats: str = "max_repeats",
     total: float | None = None,
+    epochs: float | None = None,
     seed: int = 17,
 ) -> tuple[DataFrame, DataFrame]:
     """Chooses how often each record is used. Returns (uses, report).
@@ -79,8 +80,8 @@ def mix(
     uses: ``ident, source, leaf, tokens, times`` with times >= 1. report, one row per target source: ``source, target_share, max_repeats, n_records,
     available_tokens, budget_tokens, mixed_tokens, actual_share, most_times``.
 
-    total: tokens of the mix; None takes the largest mix in which every source that has records reaches its share. With a given total a source is used up
-    at most ``repeats`` times and its shortage goes to the others by weight.
+    total: tokens of the mix; None takes the largest mix in which every source that has records reaches its share. epochs gives the total as a multiple of the tokens of all
+    targeted sources. With a given total a source is used up at most ``repeats`` times and its shortage goes to the others by weight.
 
     Method: the weights of sources are propagated down a tree of source and leaf (leaves weigh what they hold); shortages go to siblings before ancestors. A leaf takes as many whole
     epochs as its budget holds and a token-prefix of one more epoch, whose order is a seeded hash; the prefix is found by a global sort on (leaf, hash) with prefix sums over
@@ -105,6 +106,8 @@ def mix(
     tree = {s: Node(w, repeats=r) for s, w, r in wanted}
     for row in sizes:
         tree[row.s].children[row.l] = Node(float(row.n), row.n, tree[row.s].repeats)
+    if epochs is not None:
+        total = epochs * sum(row.n for row in sizes)
     aim = reachable_total(list(tree.values())) if total is None else float(total)
     share_out(list(tree.values()), aim)
     plan = []

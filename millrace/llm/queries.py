@@ -73,10 +73,7 @@ def _mix(spark: SparkSession, folder: str, epochs: float | None = None) -> tuple
     docs = table(spark, folder, "documents").select("doc_id", tidy(F.col("source")).alias("source"), tidy(F.col("lang")).alias("lang"), "text")
     targets = table(spark, folder, "source_targets")
     sized = cut(with_token_counts(docs, "text", ["doc_id", "source", "lang"]))
-    total = None
-    if epochs is not None:
-        total = epochs * (sized.join(F.broadcast(targets.select("source").limit(1000)), "source", "left_semi").agg(F.sum("n_tokens")).first()[0] or 0)
-    return mix(sized, targets, "doc_id", "source", "lang", "n_tokens", total=total)
+    return mix(sized, targets, "doc_id", "source", "lang", "n_tokens", epochs=epochs)
 
 
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:

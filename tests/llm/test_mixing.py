@@ -62,3 +62,13 @@ def test_nothing_and_bad_targets(spark):
 def test_tidy(spark):
     got = spark.createDataFrame([(x,) for x in ["EN", " en-x ", "und", "", None, "lab_share "]], "s string").select(tidy(F.col("s")).alias("t")).collect()
     assert [r.t for r in got] == ["en", "en", None, None, None, "lab_share"]
+
+
+def test_an_epoch_counts_all_targets(spark, tmp_path):
+    from millrace.llm.queries import p8_shares_epoch
+
+    docs = [(k, "word " * 9, "en", f"s{k}") for k in range(1500)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    targets(spark, [(f"s{k}", 1 / 1500, 2) for k in range(1500)]).write.parquet(f"{tmp_path}/source_targets.parquet")
+    got = p8_shares_epoch(spark, str(tmp_path)).collect()
+    assert len(got) == 1500 and all(r.budget_tokens == pytest.approx(r.available_tokens) for r in got)
