@@ -437,6 +437,23 @@ def cogroup(spark, folder):
     return out.map("key", F.size("left").cast("bigint").alias("left"), F.size("right").cast("bigint").alias("right")).df
 
 
+def _group_sizes(pair: Bag) -> DataFrame:
+    return pair.map("key", F.size("left").cast("bigint").alias("left"), F.size("right").cast("bigint").alias("right")).df
+
+
+@query("""select coalesce(c.k, s.k) as "key", coalesce(c.n, 0) as "left", coalesce(s.n, 0) as "right" from (select c_nationkey as k, count(*) as n from customer group by 1) c
+    full join (select s_nationkey as k, count(*) as n from supplier group by 1) s on c.k = s.k""")
+def cogroup_whole(spark, folder):
+    return _group_sizes(joins.cogroup(keyed(spark, folder, "customer", "c_nationkey", "c_custkey"), keyed(spark, folder, "supplier", "s_nationkey", "s_suppkey")))
+
+
+@query("""select coalesce(e.k, d.k) as "key", coalesce(e.n, 0) as "left", coalesce(d.n, 0) as "right" from (select dept_id as k, count(*) as n from employees group by 1) e
+    full join (select id as k, count(*) as n from departments group by 1) d on e.k = d.k""")
+def cogroup_unmatched(spark, folder):
+    """Employees with departments: either side has keys that the other one lacks."""
+    return _group_sizes(joins.cogroup(*_staff(spark, folder)))
+
+
 @query('select coalesce(e.k, d.k) as "key", coalesce(e.n, 0) as "left", coalesce(d.n, 0) as "right" from (select dept_id as k, count(*) as n from employees group by 1) e full join (select id as k, count(*) as n from departments group by 1) d on e.k = d.k')
 def cogroup_sizes(spark, folder):
     return joins.cogroup_sizes(*_staff(spark, folder)).df
