@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -62,6 +63,18 @@ def reachable_total(sources: list[Node]) -> float:
     return min((n.capacity * whole / n.weight for n in there), default=0.0)
 
 
+def weigh_below(node: Node, path: tuple, weigh: Callable[[tuple, int], float]) -> int:
+    """Sets the weights of all nodes below a node; returns the tokens it holds."""
+    if not node.children:
+        return node.tokens
+    held = 0
+    for name, c in node.children.items():
+        own = weigh_below(c, (*path, name), weigh)
+        c.weight = float(weigh((*path, name), own))
+        held += own
+    return held
+
+
 def mix(
     records: DataFrame,
     targets: DataFrame,
@@ -74,6 +87,8 @@ def mix(
     total: float | None = None,
     epochs: float | None = None,
     seed: int = 17,
+    domain: str | None = None,
+    weigh: Callable[[tuple, int], float] = lambda path, held: float(held),
 ) -> tuple[DataFrame, DataFrame]:
     """Chooses how often each record is used. Returns (uses, report).
 
@@ -83,7 +98,10 @@ def mix(
     total: tokens of the mix; None takes the largest mix in which every source that has records reaches its share. epochs gives the total as a multiple of the tokens of all
     targeted sources. With a given total a source is used up at most ``repeats`` times and its shortage goes to the others by weight.
 
-    Method: the weights of sources are propagated down a tree of source and leaf (leaves weigh what they hold); shortages go to siblings before ancestors. A leaf takes as many whole
+    domain: a column of targets; its sources are siblings below a node that weighs what they do together. leaf: a struct column gives one level of the tree per field.
+    weigh: weight of a node below a source among its siblings, from its path (source, level, ...) and the tokens it holds; by default these tokens.
+
+    Method: the weights of sources are propagated down a tree of domain, source and levels; shortages go to siblings before ancestors. A leaf takes as many whole
     epochs as its budget holds and a token-prefix of one more epoch, whose order is a seeded hash; the prefix is found by a global sort on (leaf, hash) with prefix sums over
     partitions, so a leaf of any size is many tasks. The record that crosses a leaf's budget is taken where that brings its source nearer to its own.
 
@@ -91,7 +109,8 @@ def mix(
     a record each time. Targets with a null source, share or repeats (or a repeated source) raise ValueError. Empty records give no uses and a report of zeros.
     """
     spark = records.sparkSession
-    wanted = [(r[0], r[1], r[2]) for r in targets.select(source, share, repeats).limit(MAX_LEAVES + 1).collect()]
+    named = targets.select(source, share, repeats, *([domain] if domain else [])).limit(MAX_LEAVES + 1).collect()
+    wanted = [(r[0], r[1], r[2]) for r in named]
     if len(wanted) > MAX_LEAVES:
         raise ValueError("too many sources")
     if any(None in r for r in wanted) or len({r[0] for r in wanted}) < len(wanted):
@@ -104,24 +123,37 @@ def mix(
     if len(sizes) > MAX_LEAVES:
         raise ValueError("too many leaves")
     tree = {s: Node(w, repeats=r) for s, w, r in wanted}
+    leaves = []
     for row in sizes:
-        tree[row.s].children[row.l] = Node(float(row.n), row.n, tree[row.s].repeats)
+        at_, path = tree[row.s], row.l if isinstance(row.l, tuple) else (row.l,)
+        for name in path[:-1]:
+            at_ = at_.children.setdefault(name, Node(0.0))
+        at_.children[path[-1]] = Node(0.0, row.n, tree[row.s].repeats)
+        leaves.append((row.s, row.l, at_.children[path[-1]]))
+    for s, top in tree.items():
+        weigh_below(top, (s,), weigh)
+    tops: list[Node] = list(tree.values())
+    if domain:
+        families: dict = {}
+        for r in named:
+            families.setdefault(r[3], {})[r[0]] = tree[r[0]]
+        tops = [Node(sum(n.weight for n in f.values()), children=f) for f in families.values()]
     if epochs is not None:
         total = epochs * sum(row.n for row in sizes)
-    aim = reachable_total(list(tree.values())) if total is None else float(total)
-    share_out(list(tree.values()), aim)
+    reach = [Node(n.weight, reachable_total(list(n.children.values()))) for n in tops] if domain else tops
+    aim = reachable_total(reach) if total is None else float(total)
+    share_out(tops, aim)
     plan = []
-    for s, top in tree.items():
-        for name, n in top.children.items():
-            whole = min(int(n.budget // n.tokens), n.repeats)
-            plan.append((s, name, whole, n.budget - whole * n.tokens if whole < n.repeats else 0.0))
-    fields = [T.StructField("ps", kinds[source]), T.StructField("pl", kinds[leaf]), T.StructField("whole", T.IntegerType()), T.StructField("rest", T.DoubleType())]
+    for g, (s, name, n) in enumerate(leaves):
+        whole = min(int(n.budget // n.tokens), n.repeats)
+        plan.append((g, s, name, whole, n.budget - whole * n.tokens if whole < n.repeats else 0.0))
+    fields = [T.StructField("g", T.IntegerType()), T.StructField("ps", kinds[source]), T.StructField("pl", kinds[leaf]), T.StructField("whole", T.IntegerType()), T.StructField("rest", T.DoubleType())]
     budgets = F.broadcast(spark.createDataFrame(plan, T.StructType(fields)))
     order: Column = F.xxhash64(F.lit(seed), F.col("whole"), F.col("i"))
     planned = used.join(budgets, (F.col("s") == F.col("ps")) & F.col("l").eqNullSafe(F.col("pl"))).drop("ps", "pl")
     spread = F.xxhash64(F.monotonically_increasing_id())  # so that records with one ident don't all lie in one partition
-    rows, at = numbered(planned.withColumn("o", order).withColumn("spread", spread), ["s", "l"], [F.col("o"), F.col("i"), F.col("spread")], amount="n")
-    summed, offset = with_offsets(rows, chain(edges(rows, ["s", "l"], at["pid"], at["gid"], F.col("n"))), at["pid"], at["gid"])
+    rows, at = numbered(planned.withColumn("o", order).withColumn("spread", spread), ["g"], [F.col("o"), F.col("i"), F.col("spread")], amount="n")
+    summed, offset = with_offsets(rows, chain(edges(rows, ["g"], at["pid"], at["gid"], F.col("n"))), at["pid"], at["gid"])
     summed = summed.withColumn("upto", F.col(at["place"]) + F.col(offset))
     # the one record of a leaf that crosses its budget, one row per leaf at most: taken where that brings the source nearer to its own budget
     crossing = summed.where("upto > rest and upto - n < rest").select("s", "l", "n", (F.col("rest") - (F.col("upto") - F.col("n"))).alias("short")).collect()

@@ -91,6 +91,14 @@ def p8_shares_epoch(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder, epochs=1.0)[1]
 
 
+def p8_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """A mix as large as the sources in which a source's languages weigh the same, kernels below them what they hold: rare languages run short and their siblings make up for them."""
+    docs = table(spark, folder, "documents").select("doc_id", tidy(F.col("source")).alias("source"), F.struct(tidy(F.col("lang")).alias("lang"), "kernel").alias("leaf"), "text")
+    sized = cut(with_token_counts(docs, "text", ["doc_id", "source", "leaf"]))
+    uses = mix(sized, table(spark, folder, "source_targets"), "doc_id", "source", "leaf", "n_tokens", epochs=1.0, weigh=lambda path, held: 1.0 if len(path) == 2 else held)[0]
+    return uses.groupBy("source", F.col("leaf.lang").alias("lang")).agg(F.sum(F.col("n_tokens") * F.col("times")).alias("mixed_tokens"), F.max("times").alias("most_times"))
+
+
 # --- problem 9
 
 LIMIT, OVERLAP = 4096, 128
@@ -111,7 +119,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder, False).where("piece = 0").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top, p4_percentiles, p7_found, p7_leaks, p8_mix, p8_shares, p8_shares_epoch, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_top, p4_percentiles, p7_found, p7_leaks, p8_mix, p8_shares, p8_shares_epoch, p8_tree, p9_found, p9_pieces)}
 
 _BEST = """with best as (select "user", movie, max(rating) as rating from ratings where "user" is not null and movie is not null and rating is not null group by 1, 2),
     placed as (select *, cast(row_number() over (partition by "user" order by rating desc, movie) as integer) as position from best)"""

@@ -72,3 +72,14 @@ def test_an_epoch_counts_all_targets(spark, tmp_path):
     targets(spark, [(f"s{k}", 1 / 1500, 2) for k in range(1500)]).write.parquet(f"{tmp_path}/source_targets.parquet")
     got = p8_shares_epoch(spark, str(tmp_path)).collect()
     assert len(got) == 1500 and all(r.budget_tokens == pytest.approx(r.available_tokens) for r in got)
+
+
+def test_tree_of_any_depth(spark):
+    rows = [(k, "a", "rare", 10) for k in range(20)] + [(1000 + k, "a", "large", 10) for k in range(200)] + [(2000 + k, "b", "large", 10) for k in range(200)] + [(3000 + k, "c", "large", 10) for k in range(20)] + [(4000 + k, "d", "large", 10) for k in range(200)]
+    df = frame(spark, rows).withColumn("leaf", F.struct("lang", (F.col("doc") % 2).alias("half")))
+    t = spark.createDataFrame([("a", 0.25, 1, "x"), ("b", 0.25, 1, "x"), ("c", 0.25, 1, "y"), ("d", 0.25, 1, "y")], "source string, target_share double, max_repeats int, domain string")
+    uses, report = mix(df, t, "doc", "source", "leaf", "n", total=3200.0, domain="domain", weigh=lambda path, held: 1.0 if len(path) == 2 else held)
+    # c runs short: its domain makes up for it; a's rare language runs short: the other one makes up for it, by halves
+    assert {r.source: r.mixed_tokens for r in report.collect()} == {"a": 800, "b": 800, "c": 200, "d": 1400}
+    got = {(r.lang, r.half): r.n for r in uses.where("source = 'a'").groupBy("leaf.lang", "leaf.half").agg(F.sum(F.col("n") * F.col("times")).alias("n")).collect()}
+    assert got == {("rare", 0): 100, ("rare", 1): 100, ("large", 0): 300, ("large", 1): 300}
