@@ -222,6 +222,45 @@ def zip_associations(a: Column, b: Column) -> Column:
     return F.when(a["key"] == b["key"], association(a["key"], zip_(a["values"], b["values"])))
 
 
+def ap_associations(functions: list[Unary], assoc: Column) -> Column:
+    """Every function of every value of a key, function by function."""
+    return association(assoc["key"], ap(assoc["values"], *functions))
+
+
+def first_value(assoc: Column) -> Column:
+    return first(assoc["values"])
+
+
+def find_value(assoc: Column, p: Unary) -> Column:
+    return find(assoc["values"], p)
+
+
+def exists_value(assoc: Column, p: Unary) -> Column:
+    return exists(assoc["values"], p)
+
+
+def for_all_values(assoc: Column, p: Unary) -> Column:
+    return for_all(assoc["values"], p)
+
+
+def n_values(assoc: Column) -> Column:
+    return F.size(assoc["values"])
+
+
+def key_lens(assoc: Column) -> tuple[Column, Callable[[Column], Column]]:
+    """The key, and the association with another key."""
+    return assoc["key"], lambda k: association(k, assoc["values"])
+
+
+def values_lens(assoc: Column) -> tuple[Column, Callable[[Column], Column]]:
+    return assoc["values"], lambda v: association(assoc["key"], v)
+
+
+def first_value_lens(assoc: Column) -> tuple[Column, Callable[[Column], Column]]:
+    """The first value, and the association with another first value."""
+    return first_value(assoc), lambda x: association(assoc["key"], prepend(x, tail(assoc["values"])))
+
+
 def product_key(a: Column, b: Column) -> Column:
     """Both keys as one, every pair of values: the first side's value varies slowest."""
     pairs = F.flatten(F.transform(a["values"], lambda x: F.transform(b["values"], lambda y: F.struct(x.alias("_1"), y.alias("_2")))))

@@ -13,6 +13,8 @@ from dataclasses import dataclass, field, replace
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +22,10 @@ from pyspark.sql import types as T
 from millrace.operators.grouping import BY_KEY, Grouping
 from millrace.operators.ordered import chain, edges, fresh, numbered, with_offsets
 from millrace.operators.reductions import Reduction
-from millrace.session import cut
+from millrace.operators.rows import Counters, DoFn, GroupFn, batches_of, each_group, each_row, folded, reduced, schema_of
+from millrace.session import cut, shuffle_partitions
+
+__all__ = ["Bag", "Counter", "Counters", "DoFn", "GroupFn", "Grouped", "Scalar"]
 
 Expr = Column | str
 
@@ -29,21 +34,6 @@ def _col(e: Expr) -> Column:
     return F.col(e) if isinstance(e, str) else e
 
 
-class DoFn:
-    """A row function with a life cycle, for ``Bag.parallel_do``: setup and cleanup run once per partition.
-
-    process gets the environment (None without one) and a row as a dict and yields output rows as dicts or tuples; cleanup may yield rows too.
-    """
-
-    def setup(self, env: Any) -> None: ...
-
-    def process(self, env: Any, row: dict) -> Iterable:
-        raise NotImplementedError
-
-    def cleanup(self, env: Any) -> Iterable:
-        return ()
-
-
 @dataclass(frozen=True)
 class Bag:
     """An unordered distributed list that keeps duplicates. key and value name the columns of a keyed list."""
@@ -77,14 +67,14 @@ class Bag:
     @staticmethod
     def lazy(spark: SparkSession, thunk: Callable[[], Iterable], schema: T.StructType | str) -> Bag:
         """Elements that are computed only when the list is run (in one task, once per run)."""
-        names = spark.createDataFrame([], schema).columns
+        wanted = schema_of(spark, schema)
 
-        def run(_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            it = iter(thunk())
-            while chunk := list(itertools.islice(it, 10_000)):
-                yield pd.DataFrame([e if isinstance(e, (tuple, list)) else (e,) for e in chunk], columns=names)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _ in batches:
+                pass
+            yield from batches_of((e if isinstance(e, (tuple, list)) else (e,) for e in thunk()), wanted)
 
-        return Bag(spark.range(0, 1, 1, 1).mapInPandas(run, schema))
+        return Bag(spark.range(0, 1, 1, 1).mapInArrow(run, wanted))
 
     @staticmethod
     def concat(bags: list[Bag]) -> Bag:
@@ -161,29 +151,17 @@ class Bag:
         """A random split by weight. The list is checkpointed first: parts of one split must see the same rows in the same order."""
         return [self._with(d) for d in cut(self.df).randomSplit([float(w) for w in weights], seed)]
 
-    def parallel_do(self, fn: DoFn, schema: T.StructType | str, env: Scalar | None = None) -> Bag:
-        """The general row function: none, one or many rows out for each row in, over Arrow batches. env: a scalar that is computed before and given to every call."""
-        given = env.run() if env is not None else None
-        names = self.df.sparkSession.createDataFrame([], schema).columns
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import copy
-
-            mine = copy.deepcopy(fn)
-            mine.setup(given)
+    def parallel_do(self, fn: DoFn, schema: T.StructType | str, env: Scalar | None = None, counters: Counters | None = None) -> Bag:
+        """The general row function: none, one or many rows out for each row in, over Arrow batches.
 
-            def frame(rows: list) -> pd.DataFrame:
-                return pd.DataFrame([tuple(r[c] for c in names) if isinstance(r, dict) else r if isinstance(r, (tuple, list)) else (r,) for r in rows], columns=names, dtype=object)
-
-            for b in batches:
-                cols = list(b.columns)
-                out = [o for row in b.astype(object).where(b.notna(), None).itertuples(index=False, name=None) for o in mine.process(given, dict(zip(cols, row, strict=True)))]
-                if out:
-                    yield frame(out)
-            if rest := list(mine.cleanup(given)):
-                yield frame(rest)
-
-        return self._with(self.df.mapInPandas(run, schema))
+        Values come as Python objects (arrays as lists, structs and maps as dicts, nulls as None). env: a scalar that is given to every call; it is computed when the list runs, and travels in the
+        first row of each partition only. counters: where ``fn.context.count`` adds up, with the rows of every task under "rows by task". Partitions without rows have no life cycle.
+        """
+        df, name = self.df, None
+        if env is not None:
+            name = fresh(df.columns, "env")
+            df = env.beside(df, name).withColumn(name, F.when(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0, F.col(name)))
+        return self._with(each_row(df, fn, schema, counters, name))
 
     def counted(self, group: str, name: str, condition: Column | None = None) -> tuple[Bag, Counter]:
         """The same list, with a counter of its elements (or of those that meet a condition) which has its value once the list has run."""
@@ -207,8 +185,13 @@ class Bag:
     # --- one value out of many
 
     def _one(self, *aggs: Column, empty: str = "none") -> Scalar:
+        """Aggregates that have a value for an empty list too."""
         return Scalar(self.df.agg(*aggs), empty)
 
+    def _some(self, agg: Column, empty: str = "raise") -> Scalar:
+        """An aggregate that an empty list has not: then there is no row."""
+        return Scalar(self.df.agg(agg.alias("value"), F.count(F.lit(1)).alias("__n")).where("__n > 0").select("value"), empty)
+
     def sum(self, value: Expr | None = None) -> Scalar:
         """0 for an empty list. Whole numbers are summed as bigint and overflow raises."""
         return self._one(F.coalesce(F.sum(_col(value or self.value)), F.lit(0)).alias("value"))
@@ -226,19 +209,20 @@ class Bag:
         return self._one(F.count_if(F.expr(condition) if isinstance(condition, str) else condition).alias("value"))
 
     def max(self, value: Expr | None = None) -> Scalar:
-        return self._one(F.max(_col(value or self.value)).alias("value"), empty="raise")
+        """The greatest value; None if all are null, ValueError for an empty list."""
+        return self._some(F.max(_col(value or self.value)))
 
     def min(self, value: Expr | None = None) -> Scalar:
-        return self._one(F.min(_col(value or self.value)).alias("value"), empty="raise")
+        return self._some(F.min(_col(value or self.value)))
 
     def max_by(self, by: Expr) -> Scalar:
         """The element with the greatest ``by``, of equals the greatest element."""
         whole = F.struct("*")
-        return self._one(F.max_by(whole, F.struct(_col(by), whole)).alias("value"), empty="raise")
+        return self._some(F.max_by(whole, F.struct(_col(by), whole)))
 
     def min_by(self, by: Expr) -> Scalar:
         whole = F.struct("*")
-        return self._one(F.min_by(whole, F.struct(_col(by), whole)).alias("value"), empty="raise")
+        return self._some(F.min_by(whole, F.struct(_col(by), whole)))
 
     def reduce(self, r: Reduction, value: Expr | None = None, order: Expr | None = None) -> Scalar:
         """ValueError on running it for an empty list."""
@@ -248,7 +232,7 @@ class Bag:
         """None for an empty list."""
         c = _col(value or self.value)
         if r.agg is not None:
-            return self._one(F.when(F.count(F.lit(1)) > 0, r.of(c, order)).alias("value"))
+            return self._some(r.of(c, order), "none")
         keyed = Bag(self.df.select(F.lit(1).alias("key"), c.alias("value")))
         return Scalar(keyed.group_by_key().combine(r).df.select("value"), "none")
 
@@ -272,14 +256,17 @@ class Bag:
     def distinct(self, *columns: str) -> Bag:
         return self._with(self.df.dropDuplicates(list(columns)) if columns else self.df.distinct())
 
-    def is_equal(self, other: Bag) -> Scalar:
-        """Whether both lists hold the same elements equally often; the order of columns counts, their names don't."""
+    def is_equal(self, other: Bag, grouping: Grouping = BY_KEY) -> Scalar:
+        """Whether both lists hold the same elements equally often; the order of columns counts, their names don't. grouping: what makes elements equal (of a list of one column, its value; else the struct of all)."""
         names = self.df.columns
         if len(names) != len(other.df.columns):
             return Scalar(self.df.sparkSession.range(1).select(F.lit(False).alias("value")), "none")
         mark = fresh(names, "mark")
         both = self.df.withColumn(mark, F.lit(1)).union(other.df.toDF(*names).withColumn(mark, F.lit(-1)))
-        left = both.groupBy(*names).agg(F.sum(mark).alias(mark)).where(F.col(mark) != 0)
+        by = [F.col(f"`{c}`") for c in names]
+        if grouping is not BY_KEY:
+            by = grouping.keys(by[0] if len(by) == 1 else F.struct(*by))
+        left = both.groupBy(*by).agg(F.sum(mark).alias(mark)).where(F.col(mark) != 0)
         return Scalar(left.agg((F.count(F.lit(1)) == 0).alias("value")), "none")
 
     # --- lists as bags and sets
@@ -411,9 +398,12 @@ class Counter:
         return int(self.seen.get[self.name])
 
 
+NO_VALUE = "no value: the list is empty"
+
+
 @dataclass(frozen=True)
 class Scalar:
-    """A lazy value: a frame of one row. empty: what running it gives if there is no row or only nulls: raise, none, or ("value", x); list takes all rows as one value."""
+    """A lazy value: a frame of one row. empty: what it is if there is no row: raise, none, or ("value", x); list takes all rows as one value. A row that holds null is a value, None."""
 
     df: DataFrame
     empty: str | tuple = "none"
@@ -435,21 +425,39 @@ class Scalar:
     def map_value(self, f: Callable[[Column], Column]) -> Scalar:
         return Scalar(self.df.select(f(F.col(self.df.columns[0])).alias("value")), self.empty)
 
+    def settled(self, name: str = "value") -> DataFrame:
+        """One column and always one row, in which what an empty value stands for is already in place; raises when it is run if that is to raise."""
+        whole = F.col(f"`{self.df.columns[0]}`") if len(self.df.columns) == 1 else F.struct("*")
+        if self.empty == "list":
+            return self.df.agg(F.transform(F.collect_list(F.struct(whole.alias("v"))), lambda x: x["v"]).alias(name))
+        held = self.df.limit(1).agg(F.first(F.struct(whole.alias("v"))).alias("b"))
+        there = self.df.select(whole.alias("v")).schema["v"].dataType
+        none = F.raise_error(F.lit(NO_VALUE)).cast(there) if self.empty == "raise" else F.lit(self.empty[1] if isinstance(self.empty, tuple) else None).cast(there)
+        return held.select(F.when(F.col("b").isNull(), none).otherwise(F.col("b.v")).alias(name))
+
+    def beside(self, df: DataFrame, name: str) -> DataFrame:
+        """df with the value as a last column; the frame that is broadcast has one row."""
+        one = fresh([*df.columns, name], "one")
+        side = F.broadcast(self.settled(name).withColumn(one, F.lit(1)))
+        return df.withColumn(one, F.lit(1)).join(side, one).select(*[F.col(f"`{c}`") for c in df.columns], F.col(f"`{name}`"))
+
     def zip(self, *others: Scalar) -> Scalar:
-        """Up to eight values side by side, as columns _1, _2, ...: each is a single row, so they meet on a constant."""
-        parts = [s.df.select((F.col(s.df.columns[0]) if len(s.df.columns) == 1 else F.struct("*")).alias(f"_{k + 1}"), F.lit(1).alias("__one")) for k, s in enumerate((self, *others))]
-        return Scalar(functools.reduce(lambda a, b: a.join(F.broadcast(b), "__one"), parts).drop("__one"), self.empty)
+        """Up to eight values side by side, as columns _1, _2, ...: each is a single row, so they meet on a constant. Each keeps its own rule for being empty, so it raises if one of them does."""
+        parts = [s.settled(f"_{k + 1}").withColumn("__one", F.lit(1)) for k, s in enumerate((self, *others))]
+        return Scalar(functools.reduce(lambda a, b: a.join(F.broadcast(b), "__one"), parts).drop("__one"), "none")
 
     def join(self, bag: Bag) -> Bag:
         """The value beside every element of a list; the frame that is broadcast has one row."""
         taken = list(bag.df.columns)
-        one = fresh(taken, "one")
-        names = []
+        if len(self.df.columns) == 1 or self.empty == "list":
+            name = self.df.columns[0] if self.df.columns[0] not in taken else fresh(taken, f"scalar_{self.df.columns[0]}")
+            return replace(bag, df=self.beside(bag.df, name).select(F.col(f"`{name}`"), *[F.col(f"`{c}`") for c in taken]), sinks=())
+        names: list[str] = []
         for c in self.df.columns:
-            names.append(fresh([*taken, *names, one], c if c not in taken else f"scalar_{c}"))
-        side = F.broadcast(self.df.toDF(*names).limit(1).withColumn(one, F.lit(1)))
-        joined = bag.df.withColumn(one, F.lit(1)).join(side, one)
-        return replace(bag, df=joined.select(*names, *taken), sinks=())
+            names.append(fresh([*taken, *names], c if c not in taken else f"scalar_{c}"))
+        box = fresh([*taken, *names], "box")
+        joined = self.beside(bag.df, box)
+        return replace(bag, df=joined.select(*[F.col(f"`{box}`").getField(c).alias(n) for c, n in zip(self.df.columns, names, strict=True)], *[F.col(f"`{c}`") for c in taken]), sinks=())
 
     def to_bag(self) -> Bag:
         """A list of the single value."""
@@ -467,10 +475,15 @@ class Scalar:
         one = len(self.df.columns) == 1
         if self.empty == "list":
             return [r[0] if one else tuple(r) for r in self.df.collect()]
-        row = self.df.head()
-        if row is None or all(x is None for x in row):
+        try:
+            row = self.df.head()
+        except PySparkException as e:
+            if NO_VALUE in str(e):
+                raise ValueError(NO_VALUE) from None
+            raise
+        if row is None:
             if self.empty == "raise":
-                raise ValueError("no value: the list is empty")
+                raise ValueError(NO_VALUE)
             return self.empty[1] if isinstance(self.empty, tuple) else None
         return row[0] if one else tuple(row)
 
@@ -514,6 +527,20 @@ class Grouped:
     def map_keys(self, f: Callable[[Column], Column]) -> Bag:
         return self.lists().map_keys(f)
 
+    def bimap(self, fk: Callable[[Column], Column], fv: Callable[[Column], Column]) -> Bag:
+        """fk of each key, fv of each group's array of values."""
+        return self.lists().map_keys(fk).map_values(fv)
+
+    def map_groups(self, f: Callable[[Column, Column], Column], name: str = "value") -> Bag:
+        """f of a key and its array of values."""
+        whole = self.lists()
+        return whole._with(whole.df.select(f(F.col(self.bag.key), F.col(self.bag.value)).alias(name)))
+
+    def flat_values(self, f: Callable[[Column], Column] = lambda a: a) -> Bag:
+        """Key and single values: f of each group's array, taken apart again."""
+        out = self.lists().map_values(f)
+        return out._with(out.df.select(self.bag.key, F.explode(self.bag.value).alias(self.bag.value)))
+
     def keys(self) -> Bag:
         return self.agg(F.count(F.lit(1)).alias(fresh(self.bag.df.columns, "n"))).keys()
 
@@ -526,44 +553,39 @@ class Grouped:
             return self.agg(r.of(F.col(self.bag.value), order).alias(self.bag.value))
         if r.ordered or order is not None:
             raise TypeError("a Python reduction has no order to go by")
+        rows = self._identified(partial=True)
+        whole = T.StructType([rows.schema[self.bag.key], rows.schema[self.bag.value]])
+        parts = reduced(rows, r.op)
+        placed = self._placed(parts, [])
+        return self.bag._with(each_group(placed, ["__h", "__k"], self.bag.key, self.bag.value, folded(r.op)(), whole, None, None))
+
+    def _identified(self, partial: bool = False) -> DataFrame:
+        """Rows with a hash and a text of what makes their keys equal (and, unless partial results go first, the columns that partition and order them)."""
         key, value = self.bag.key, self.bag.value
         canonical = F.struct(*self.grouping.keys(F.col(key)))
-        rows = self.bag.df.select(F.xxhash64(canonical).alias("__h"), F.to_json(F.struct(canonical.alias("k")), {"ignoreNullFields": "false"}).alias("__k"), key, value)
-        schema = rows.schema
-        op = r.op
-
-        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held: dict = {}
-            for b in batches:
-                for h, k, name, v in b.itertuples(index=False, name=None):
-                    held[k] = (h, name, op(held[k][2], v)) if k in held else (h, name, v)
-                if len(held) > 100_000:
-                    yield frame(held)
-                    held = {}
-            if held:
-                yield frame(held)
-
-        def frame(held: dict) -> pd.DataFrame:
-            return pd.DataFrame([(h, k, name, v) for k, (h, name, v) in held.items()], columns=schema.names)
-
-        def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            at = None
-            for b in batches:
-                out = []
-                for h, k, name, v in b.itertuples(index=False, name=None):
-                    if at is not None and at[1] == k:
-                        at = (h, k, at[2], op(at[3], v))
-                    else:
-                        if at is not None:
-                            out.append(at)
-                        at = (h, k, name, v)
-                if out:
-                    yield pd.DataFrame(out, columns=schema.names)
-            if at is not None:
-                yield pd.DataFrame([at], columns=schema.names)
-
-        done = rows.mapInPandas(partial, schema).repartition("__h").sortWithinPartitions("__h", "__k").mapInPandas(final, schema)
-        return self.bag._with(done.select(key, value))
+        ids = [F.xxhash64(canonical).alias("__h"), F.to_json(F.struct(canonical.alias("k")), {"ignoreNullFields": "false"}).alias("__k")]
+        return self.bag.df.select(*ids, key, value, *([] if partial else [o.alias(f"__o{k}") for k, o in enumerate(self.grouping.order)]))
+
+    def _placed(self, rows: DataFrame, within: list[str]) -> DataFrame:
+        """Every group in one partition, groups in the grouping's own order if it has one, values in theirs."""
+        g, key = self.grouping, self.bag.key
+        n = shuffle_partitions(rows.sparkSession)
+        spread = rows.repartition("__h") if g.partition is None else rows.repartitionById(n, F.pmod(g.partition(F.col(key), n), F.lit(n)).cast("int"))
+        return spread.sortWithinPartitions(*g.sort(F.col(key)), "__h", "__k", *within)
+
+    def parallel_do(self, fn: GroupFn, schema: T.StructType | str, env: Scalar | None = None, counters: Counters | None = None) -> Bag:
+        """The general function of a group: none, one or many rows out for each key, whose values it gets one after the other in the grouping's order, so that no group is held in memory.
+
+        env and counters as in ``Bag.parallel_do``. Partitions are those of the grouping (its partition function, else a hash of the key), and groups come in its order within a partition.
+        """
+        rows = self._identified()
+        order = [c for c in rows.columns if c.startswith("__o")]
+        rows = self._placed(rows, order).drop(*order)
+        name = None
+        if env is not None:
+            name = fresh(rows.columns, "env")
+            rows = env.beside(rows, name).withColumn(name, F.when(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0, F.col(name)))
+        return self.bag._with(each_group(rows, ["__h", "__k"], self.bag.key, self.bag.value, fn, schema, counters, name))
 
     def combine_do(self, f: Callable[[Column], Column]) -> Bag:
         """f of a group's array of values, applied once and giving one value per key."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,15 +13,27 @@ from pyspark.sql import functions as F
 class Grouping:
     """keys: the columns that decide equality, from the key column; order: expressions over a row by which the values of a group are sorted (empty: no order is promised).
 
-    Spark partitions by hash of these columns itself, so there is no partition function to give. An equality that is no function of the key (a bare comparator) can't be distributed by hash and isn't offered.
+    partition and sort serve ``Grouped.parallel_do``: the number of the partition of a key, and the columns by which groups follow one another in a partition. Keys that count as equal must get
+    equal results from both. Without a partition function Spark partitions by hash. An equality that is no function of the key (a bare comparator) can't be distributed and isn't offered.
     """
 
     keys: Callable[[Column], list[Column]] = field(default=lambda k: [k])
     order: tuple[Column, ...] = ()
+    partition: Callable[[Column, int], Column] | None = None
+    sort: Callable[[Column], list[Column]] = field(default=lambda k: [])
 
     def contramap(self, f: Callable[[Column], Column]) -> Grouping:
         """Groups by f(key)."""
-        return Grouping(lambda k: self.keys(f(k)), self.order)
+        part = self.partition
+        return Grouping(lambda k: self.keys(f(k)), self.order, part and (lambda k, n: part(f(k), n)), lambda k: self.sort(f(k)))
+
+    def partitioned(self, f: Callable[[Column, int], Column]) -> Grouping:
+        """The same groups, a key in partition f(key, number of partitions), taken modulo that number."""
+        return replace(self, partition=f)
+
+    def sorted(self, f: Callable[[Column], list[Column]]) -> Grouping:
+        """The same groups, following one another in a partition by these columns of the key."""
+        return replace(self, sort=f)
 
     def zip(self, other: Grouping) -> Grouping:
         """For keys that are structs of two fields: the first field by this grouping and the second by the other."""
@@ -33,7 +45,7 @@ class Grouping:
 
     def secondary_sort(self, *by: Column | str) -> Grouping:
         """The same groups, with their values in this order."""
-        return Grouping(self.keys, tuple(F.col(b) if isinstance(b, str) else b for b in by))
+        return replace(self, order=tuple(F.col(b) if isinstance(b, str) else b for b in by))
 
 
 BY_KEY = Grouping()

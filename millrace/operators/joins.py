@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.bag import Bag
+from millrace.session import steady
 
 _FROM = ("__left", "__right")
 
@@ -87,11 +88,11 @@ def cogroup_sizes(a: Bag, b: Bag) -> Bag:
 def block_join(a: Bag, b: Bag, copies: int = 5) -> Bag:
     """The inner join, with the left side copied ``copies`` times and the right side's rows of a key dealt out over the copies: for a right side with heavy keys.
 
-    Rows are dealt by a hash of their place, not by a fresh random number, so that a task that is run again deals them the same way. The result does not depend on it.
+    Rows are dealt by a hash of their place, not by a fresh random number, so that a task that is run again deals them the same way (rows out of a shuffle are checkpointed first). The result does not depend on it.
     """
     if copies < 1:
         raise ValueError("copies must be at least 1")
-    left, right, on = _sides(a, b, False)
+    left, right, on = _sides(a, replace(b, df=steady(b.df)), False)
     left = left.withColumn("__ls", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     right = right.withColumn("__rs", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(copies)).cast("int"))
     return _out(a, left.join(right, on & (F.col("__ls") == F.col("__rs"))).select(_key(a.key), "left", "right"))

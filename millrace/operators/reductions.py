@@ -132,6 +132,10 @@ class Reduction:
         """Functions into wrapped values: bind(op, wrapped, wrapped) combines what they give (Kleisli arrows; for functions from wrapped values use ``pointwise``)."""
         return Reduction(f"{self.name} of lifted functions", lambda f, g: lambda *x: bind(self.op, f(*x), g(*x)))
 
+    def pointwise_from(self, take: Callable[[Any], Any]) -> Reduction:
+        """Functions from a value in its surroundings (cokleisli arrows): both see the whole, and what they give is reduced; take puts out the value for functions of it alone."""
+        return Reduction(f"{self.name} of functions from surroundings", lambda f, g: lambda w: self.op(f(w), g(w)) if take is None else self.op(f(take(w)), g(take(w))))
+
     def lift(self, bind: Callable) -> Reduction:
         """Wrapped values, combined through bind(op, wrapped, wrapped)."""
         return Reduction(f"{self.name} lifted", lambda a, b: bind(self.op, a, b))
@@ -186,7 +190,15 @@ def _either(lefts: Reduction, rights: Reduction, wins: str) -> Reduction:
 # --- numbers
 
 SUM = Reduction("sum", lambda a, b: a + b, lambda c: F.coalesce(F.sum(c), F.lit(0)), 0)
-SUM_DECIMAL = Reduction("decimal sum", lambda a, b: a + b, lambda c: F.coalesce(F.sum(c.cast("decimal(38,10)")), F.lit(0)), Decimal(0))
+
+
+def decimal_sum(scale: int) -> Reduction:
+    """Sum of decimals with so many digits behind the point; values with more are rounded to them."""
+    return Reduction("decimal sum", lambda a, b: a + b, lambda c: F.coalesce(F.sum(c.cast(f"decimal(38,{scale})")), F.lit(0).cast(f"decimal(38,{scale})")), Decimal(0))
+
+
+#: With ten digits behind the point; ``decimal_sum`` takes any number of them.
+SUM_DECIMAL = decimal_sum(10)
 SUM_DIGIT = Reduction("digit sum", lambda a, b: (a + b) % 10, lambda c: F.coalesce(F.pmod(F.sum(c), F.lit(10)), F.lit(0)), 0)
 #: As a column the product is a double; exact products of whole numbers go through ``op``.
 PRODUCT = Reduction("product", lambda a, b: a * b, lambda c: F.coalesce(F.product(c), F.lit(1.0)), 1)
@@ -241,11 +253,13 @@ SORTED_SET = Reduction("sorted set", lambda a, b: tuple(sorted({*a, *b})), lambd
 
 
 def _last_wins(c: Column, o: Column) -> Column:
-    """One map of maps in order: an entry's last value wins. Maps themselves can't be sorted, so their entries travel as arrays."""
+    """One map of maps in order: an entry's last value wins. Maps themselves can't be sorted, so their entries travel as arrays; places are sorted by key, and of each key's places the last is kept."""
     boxed = F.array_sort(F.collect_list(F.struct(o.alias("o"), F.map_entries(c).alias("v"))))
     entries = F.flatten(F.filter(F.transform(boxed, lambda x: x["v"]), lambda m: m.isNotNull()))
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"].alias("value"))))
+    places = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["key"].alias("k"), i.alias("i"))))
+    # arrays that are made once: a lambda that names an expression would have it computed again for every element
+    held = F.transform(F.array(F.struct(entries.alias("e"), places.alias("p"))), lambda h: F.transform(F.filter(h["p"], lambda x, j: F.coalesce(F.get(h["p"], j + 1)["k"] != x["k"], F.lit(True))), lambda x: F.get(h["e"], x["i"])))
+    return F.map_from_entries(F.flatten(held))
 
 
 MAP = Reduction("map", lambda a, b: {**a, **b}, _last_wins, None, True)
@@ -277,9 +291,40 @@ def split2(f: Callable[[Any], Any]) -> Reduction:
     return Reduction("split right", lambda a, b: f(b))
 
 
+def split1_by(r: Reduction, f: Callable[[Any], Any]) -> Reduction:
+    """r of f of the left value and the right value as it is: f on one side only."""
+    return Reduction(f"{r.name} split left", lambda a, b: r.op(f(a), b))
+
+
+def split2_by(r: Reduction, f: Callable[[Any], Any]) -> Reduction:
+    return Reduction(f"{r.name} split right", lambda a, b: r.op(a, f(b)))
+
+
+def _siblings(a: Any, b: Any) -> list:
+    return [*a, *b]
+
+
+#: Lists of XML nodes (as text or elements), one behind the other; as columns, arrays of their text.
+NODES = Reduction("nodes", _siblings, lambda c, o: F.flatten(F.filter(_in_order(c, o), lambda x: x.isNotNull())), (), True)
+
 ENDO = Reduction("endo", lambda f, g: lambda x: f(g(x)), None, lambda x: x)
 #: Comparisons a, b -> -1, 0, 1 by one criterion after the other; as expressions, ``orderBy`` with several columns.
 ORDERING = Reduction("ordering", lambda f, g: lambda x, y: f(x, y) or g(x, y), None, lambda x, y: 0)
+
+
+def by_criteria(*criteria: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
+    """ORDERING as an expression: a comparison of two columns (-1, 0, 1) by one criterion after the other, as ``array_sort`` takes it."""
+    return lambda x, y: F.coalesce(*[F.nullif(c(x, y), F.lit(0)) for c in criteria], F.lit(0))
+
+
+def ascending(f: Callable[[Column], Column] = lambda x: x) -> Callable[[Column, Column], Column]:
+    return lambda x, y: F.when(f(x) < f(y), -1).when(f(x) > f(y), 1).otherwise(0)
+
+
+def descending(f: Callable[[Column], Column] = lambda x: x) -> Callable[[Column, Column], Column]:
+    return lambda x, y: ascending(f)(y, x)
+
+
 COMPARISON = Reduction("comparison", lambda a, b: a or b, None, 0)
 #: Equivalences, both of which must hold.
 EQUAL = Reduction("equal", lambda f, g: lambda x, y: f(x, y) and g(x, y), None, lambda x, y: True)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.ordered import any_changed, range_scan
-from millrace.session import cut
+from millrace.session import cut, steady
 
 
 def _split(t0: np.ndarray, t1: np.ndarray, value: np.ndarray, ok: np.ndarray, step: int, hold: int) -> tuple[np.ndarray, ...]:
@@ -45,7 +45,7 @@ def regrid(df: DataFrame, source: str, time: str, value: str, step: int = 3600,
     span = df.schema[time].dataType
     rows = df.select(F.col(f"`{source}`").alias("source"), F.col(f"`{time}`").cast("long").alias("time"), F.col(f"`{value}`").cast("double").alias("value"))
     rows = rows.where("source is not null and time is not null and value is not null and not isnan(value)")
-    rows = rows.withColumn("spread", F.xxhash64(F.monotonically_increasing_id()))  # so that copies of one reading don't all lie in one partition
+    rows = steady(rows).withColumn("spread", F.xxhash64(F.monotonically_increasing_id()))  # so that copies of one reading don't all lie in one partition
     kind = df.schema[source].dataType
     schema = T.StructType(
         [

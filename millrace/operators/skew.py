@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from millrace.operators.ordered import any_changed, changed, fresh, range_scan
-from millrace.session import cut, shuffle_partitions
+from millrace.session import cut, shuffle_partitions, steady
 
 
 def _states(names: list[str]) -> Callable:
@@ -41,7 +41,7 @@ def key_states(df: DataFrame, key: str, item: str, partitions: int | None = None
     exact copies of a single item, is split over partitions of like size, and each partition holds whole stretches in order.
     """
     spread = F.xxhash64(F.monotonically_increasing_id())
-    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{item}`").alias("item"), spread.alias("spread"))
+    rows = steady(df.select(*{key: F.col(f"`{key}`"), item: F.col(f"`{item}`")}.values())).select(F.col(f"`{key}`").alias("key"), F.col(f"`{item}`").alias("item"), spread.alias("spread"))
     kind = {f.name: f.dataType for f in rows.schema.fields}
     schema = T.StructType(
         [T.StructField("key", kind["key"]), T.StructField("pid", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("seq", "rows", "items")), *(T.StructField(c, kind["item"]) for c in ("first_item", "last_item"))]
@@ -86,6 +86,7 @@ def skew_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
         taken.append(renamed[-1])
     rk = renamed[right.columns.index(right_key)]
     h, slot, cuts, ck = (fresh([*taken], x) for x in ("row_hash", "slot", "cuts", "cut_key"))
+    left = steady(left)
     left_h = left.withColumn(h, F.xxhash64(F.col(f"`{left_key}`"), F.monotonically_increasing_id()))
     keyed = left_h.where(F.col(f"`{left_key}`").isNotNull()).select(F.col(f"`{left_key}`").alias(ck), F.col(h).alias("h"))
     most = SAMPLE_PER_SLOT * slots

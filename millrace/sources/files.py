@@ -29,6 +29,9 @@ class Files:
     def delete(self) -> bool:
         return self.fs.delete(self.path, True)
 
+    def copy_to_local(self, to: str) -> None:
+        self.fs.copyToLocalFile(False, self.path, self._path(to), True)
+
     def rename(self, to: str) -> bool:
         return self.fs.rename(self.path, self._path(to))
 

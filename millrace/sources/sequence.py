@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +14,6 @@ from millrace.operators.bag import Bag, Scalar
 from millrace.sources.files import Files
 from millrace.sources.text import present
 
-#: More partitions than this are not written one by one.
-MAX_PARTITIONS = 10_000
-
 _KIND = {T.IntegerType: int, T.LongType: int, T.ShortType: int, T.ByteType: int, T.DoubleType: float, T.FloatType: float, T.StringType: str, T.BooleanType: bool, T.BinaryType: (bytes, bytearray)}
 
 
@@ -32,17 +31,23 @@ def from_sequence(spark: SparkSession, key: T.DataType, value: T.DataType, *path
                 raise TypeError(f"expected {kind}, the file has {type(x)}")
         return row
 
-    def one(path: str) -> DataFrame:
-        return spark.createDataFrame(spark.sparkContext.sequenceFile(path).map(checked), schema)
-
+    sc = spark.sparkContext
     if not with_path:
-        return Bag(one(",".join(there)))
+        return Bag(spark.createDataFrame(sc.sequenceFile(",".join(there)).map(checked), schema))
+    # Spark tells no paths of sequence files, so each file is a source of its own, in one flat union
     files = [f for p in there for f in Files(spark, p).data_files()]
-    out = None
-    for f in files:
-        part = one(f).select(F.lit(f).alias("path"), "key", "value")
-        out = part if out is None else out.unionByName(part)
-    return Bag(out)
+    located = T.StructType([T.StructField("path", T.StringType()), *schema.fields])
+    rows = sc.union([sc.sequenceFile(f).map(lambda row, f=f: (f, *checked(row))) for f in files]) if files else []
+    return Bag(spark.createDataFrame(rows, located))
+
+
+def convert_sequence(spark: SparkSession, decode: Callable[[Any, Any], tuple | None], schema: T.StructType | str, *paths: str, check: bool = True) -> Bag:
+    """Elements made by a function from the keys and values of sequence files; what it gives None for is left out."""
+    there = present(spark, paths, check)
+    if not there:
+        return Bag(spark.createDataFrame([], schema))
+    rows = spark.sparkContext.sequenceFile(",".join(there)).map(lambda kv: decode(*kv)).filter(lambda r: r is not None)
+    return Bag(spark.createDataFrame(rows, schema))
 
 
 def keys_from_sequence(spark: SparkSession, key: T.DataType, value: T.DataType, *paths: str, **options: bool) -> Bag:
@@ -75,13 +80,14 @@ class SequenceSink:
     value: str | None = "value"
     overwrite: bool = False
     codec: str | None = None
+    check: bool = True
 
     def compressed(self, codec: str = "gzip") -> SequenceSink:
-        return SequenceSink(self.path, self.key, self.value, self.overwrite, {"gzip": "org.apache.hadoop.io.compress.GzipCodec", "bzip2": "org.apache.hadoop.io.compress.BZip2Codec"}.get(codec, codec))
+        return replace(self, codec={"gzip": "org.apache.hadoop.io.compress.GzipCodec", "bzip2": "org.apache.hadoop.io.compress.BZip2Codec"}.get(codec, codec))
 
     def __call__(self, df: DataFrame) -> None:
         files = Files(df.sparkSession, self.path)
-        if files.exists():
+        if self.check and files.exists():
             if not self.overwrite:
                 raise FileExistsError(self.path)
             files.delete()
@@ -104,15 +110,15 @@ def values_to_sequence(bag: Bag, path: str, overwrite: bool = False) -> Bag:
 
 
 def to_partitioned_sequence(bag: Bag, path: str, partition: str, overwrite: bool = False, keys: bool = True, values: bool = True) -> Bag:
-    """One folder per value of the partition column, of keys and values or one of them. Spark has no writer that does this in one go, so partitions are written one after the other; more than MAX_PARTITIONS raise."""
+    """One folder per value of the partition column, of keys and values or one of them.
+
+    Spark has no writer that does this in one go, so partitions are written one after the other, each reading its own rows of a copy that is kept; their number has no limit.
+    """
 
     def write(df: DataFrame) -> None:
         held = df.persist()
         try:
-            parts = [r[0] for r in held.select(partition).distinct().limit(MAX_PARTITIONS + 1).collect()]
-            if len(parts) > MAX_PARTITIONS:
-                raise ValueError("too many partitions")
-            for p in parts:
+            for (p,) in held.select(partition).distinct().toLocalIterator():
                 SequenceSink(f"{path}/{p}", bag.key if keys else None, bag.value if values else None, overwrite)(held.where(F.col(partition).eqNullSafe(F.lit(p))))
         finally:
             held.unpersist()

@@ -88,6 +88,7 @@ class TextSink:
     separator: str | None = None
     compression: str | None = None
     partitions: tuple[str, ...] = ()
+    check: bool = True
 
     def compressed(self, codec: str = "gzip") -> TextSink:
         return replace(self, compression=codec)
@@ -95,7 +96,7 @@ class TextSink:
     def __call__(self, df: DataFrame) -> None:
         rest = df.drop(*self.partitions) if self.partitions else df
         line = (F.col(f"`{rest.columns[0]}`").cast("string") if len(rest.columns) == 1 and self.separator is None else flat_line(rest, self.separator if self.separator is not None else ",")).alias("value")
-        writer = df.select(line, *self.partitions).write.mode("overwrite" if self.overwrite else "errorifexists")
+        writer = df.select(line, *self.partitions).write.mode("overwrite" if self.overwrite else "errorifexists" if self.check else "append")
         if self.compression:
             writer = writer.option("compression", self.compression)
         if self.partitions:
