@@ -52,3 +52,33 @@ def test_parts_merge_and_resolution_bounds_the_error(spark):
 
 def test_nothing(spark):
     assert percentiles(summarise(frame(spark, []), ["station"], "temp"), "station", P).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_one_group_of_all_rows_with_and_without_broadcast(spark, broadcast):
+    rng = np.random.default_rng(8)
+    values = np.round(rng.lognormal(0, 2, 30_000), 4).tolist()
+    rows = [("all", v) for v in values] + [("few", v) for v in values[:9]] + [(f"s{k % 3}", v) for k, v in enumerate(values[:900])] + [(None, v) for v in values[:300]]
+    df = spark.createDataFrame(rows, "station string, temp double")
+    got = percentiles(summarise(df, ["station"], "temp"), "station", P, settle=16, blocks=7, block=500, broadcast=broadcast).collect()
+    want = {}
+    for s, v in rows:
+        want.setdefault(s, []).append(v)
+    assert {r.station: (r.n, r.lo, r.p05, r.mid, r.p95, r.hi, r.error_bound) for r in got} == {s: (len(v), *brute(v), 0.0) for s, v in want.items()}
+
+
+def test_the_bound_goes_with_the_summary(spark, tmp_path):
+    rows = [("a", k / 7) for k in range(3000)]
+    coarse, fine = (summarise(frame(spark, rows, "double"), ["station"], "temp", resolution=r) for r in (0.5, 0.25))
+    coarse.write.parquet(f"{tmp_path}/coarse")
+    out = percentiles(merge(spark.read.parquet(f"{tmp_path}/coarse"), fine, keys=["station"]), "station", P)
+    assert out.first().error_bound == 0.25
+    assert percentiles(fine, "station", P).first().error_bound == 0.125
+
+
+@pytest.mark.parametrize("kind", ["decimal(12,3)", "date", "float", "smallint"])
+def test_other_kinds_of_values(spark, kind):
+    df = spark.range(500).selectExpr("'a' as station", f"cast({'date_add(date 2020-01-01, cast(id as int))'.replace('date 2020-01-01', 'date' + chr(39) + '2020-01-01' + chr(39)) if kind == 'date' else '(id * 37) % 500'} as {kind}) as temp")
+    r = percentiles(summarise(df, ["station"], "temp"), "station", P, settle=8).first()
+    v = sorted(x.temp for x in df.collect())
+    assert (r.lo, r.p05, r.mid, r.p95, r.hi) == brute(v)
