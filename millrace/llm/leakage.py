@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import html
 import re
-import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,30 +17,40 @@ from pyspark.sql import types as T
 
 from millrace.llm.tokens import chunks
 from millrace.operators.ordered import groups
-from millrace.session import BROADCAST_ROWS
+from millrace.operators.skew import skew_join
+from millrace.session import cut
 
 #: Words of a window (a shingle).
 WINDOW = 5
-#: Words of a window that must not be placeholders, so that a window says something.
+#: Words of a window that must not be placeholders for it to stand as a template. A window with fewer of them is taken by its own words instead, and again as far as that many such words reach.
 CONTENT = 3
-#: The items' vocabulary goes to every task; more words than this are refused.
-MAX_VOCABULARY = 2_000_000
+#: The most words that a window is drawn out to.
+REACH = 25
+#: A window that an item repeats more often is paired by its ordinal, and by its own words besides.
+REPEATS = 8
+#: Windows of items up to which their table is broadcast (some hundred bytes each); with more it is a shuffle join that splits frequent windows.
+BROADCAST_WINDOWS = 200_000
+#: Bitmaps have at least 64 bits for each entry, but never more than this; beyond it they let more through and lose nothing.
+MOST_BITS = 28
 
 _TAG = re.compile(r"</?[a-z][a-z0-9]*(?:\s[^<>]*)?/?>")
 _UNICODE = re.compile(r"\\+u([0-9a-f]{4})")
 _ESCAPE = re.compile(r"\\+[nrt]")
-_WORD = re.compile(r"[^\W_]+")
-_NAME = re.compile(r"(?<=[a-z,;:] )[A-Z][a-z]+|(?<=_)[A-Z][a-z]+")
-_UNIT = re.compile(r"\b\d[\d.,]* ([a-z]+s)\b")
+#: Scripts that put no spaces between words; each of their characters counts as a word.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+_APART = "".join(f"{chr(a)}-{chr(b)}" for a, b in UNSPACED)
+_WORD = re.compile(rf"(?![_{_APART}])\w(?:(?![_{_APART}])\w)*|(?!_)[{_APART}](?<=\w)")
+#: A word in capitals' case inside a sentence: behind a word or a comma, or behind an underscore.
+_NAME = regex.compile(r"(?<=[\p{Ll}\p{Lo},;:] )\p{Lu}\p{Ll}+|(?<=_)\p{Lu}\p{Ll}+")
+#: A word right behind a number, in the same line.
+_UNIT = regex.compile(r"\p{N}[\p{N}.,]* ?(\p{L}[\p{L}\p{M}]*)")
 
-# Typed placeholders: the first codes of the vocabulary.
-NUMBER, NAME, UNIT, FIRST = 1, 2, 3, 4
-#: Units of measure.
-MEASURES = "mm cm m km mg g kg t ml l s ms min h hours minutes seconds days weeks months years percent pct metres meters litres liters grams degrees eur usd euros dollars cents".split()
+# What a word is, in the last three bits of its code: a word of the items' own, a typed placeholder, or a word that no item has (which may stand for a name).
+PLAIN, NUMBER, NAME, UNIT, UNKNOWN = range(5)
 
 
-def words(text: str) -> list[str]:
-    """Words of a text without letter case, spacing, punctuation, escapes, entities, tags and comment marks."""
+def bare(text: str) -> str:
+    """A text in lower case without escapes, entities and tags."""
     text = text.lower()
     if "\\" in text:
         text = _UNICODE.sub(lambda m: chr(int(m[1], 16)).lower(), text)
@@ -49,7 +59,12 @@ def words(text: str) -> list[str]:
         text = html.unescape(text).lower()
     if "<" in text:
         text = _TAG.sub(" ", text)
-    return _WORD.findall(text)
+    return text
+
+
+def words(text: str) -> list[str]:
+    """Words of a text without letter case, spacing, punctuation, escapes, entities, tags and comment marks."""
+    return _WORD.findall(bare(text))
 
 
 def passage(text: str | None) -> str:
@@ -58,30 +73,184 @@ def passage(text: str | None) -> str:
     return rest if newline else head
 
 
-class Codes(dict):
-    """Codes of words: positive for the items' words, negative for others (one range for numbers, one for the rest)."""
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0xD6E8FEB86659FD93
+_BACK = pow(_BASE, -1, 1 << 64)
+_tables: dict = {}
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0, ..., base ** n modulo 2 ** 64."""
+    have = _tables.get(base)
+    if have is None or len(have) <= n:
+        steps = np.full(max(n, 1 << 17), base, np.uint64)
+        have = _tables[base] = np.concatenate([np.ones(1, np.uint64), np.cumprod(steps)])
+    return have
+
+
+def _classes() -> np.ndarray:
+    """Of every character: 0 no part of words, 1 part of a word, 2 a word of its own; 4 more for digits and other numerals."""
+    if "classes" not in _tables:
+        out = np.zeros(0x110000, np.uint8)
+        for c in range(0x110000):
+            if chr(c).isalnum():
+                out[c] = 1 + 4 * chr(c).isnumeric()
+        for a, b in UNSPACED:
+            out[a : b + 1] += (out[a : b + 1] > 0).astype(np.uint8)
+        _tables["classes"] = out
+    return _tables["classes"]
+
+
+def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of stretches, from running sums of hashes times powers: the same for the same stretch wherever it stands."""
+    return _mixed((sums[end] - sums[start]) * _powers(_BACK, len(sums))[start])
+
+
+def running(values: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(values + _MIX) * _powers(_BASE, len(values))[: len(values)])])
+
+
+def word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """61-bit hashes of a text's words, in one go over its characters, and which words begin with a numeral."""
+    codes = np.frombuffer(bare(text).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(codes):
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
+    kind = _classes()[codes]
+    inside, own = kind & 3 > 0, kind & 3 == 2
+    joint = inside[1:] & inside[:-1] & ~own[1:] & ~own[:-1]  # the character belongs to the word of the one before
+    start = np.flatnonzero(inside & ~np.concatenate([[False], joint]))
+    end = np.flatnonzero(inside & ~np.concatenate([joint, [False]])) + 1
+    return spans(running(codes.astype(np.uint64)), start, end) >> np.uint64(3), kind[start] & 4 > 0
+
+
+class Bits:
+    """A set of 61-bit hashes as a bitmap: it may hold more than was put in, never less."""
+
+    def __init__(self, entries: int) -> None:
+        self.bits = int(min(MOST_BITS, max(16, np.ceil(np.log2(64 * max(1, entries))))))
+        self.held = np.zeros(1 << (self.bits - 3), np.uint8)
+
+    def _place(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = h >> np.uint64(61 - self.bits)
+        return (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8), dtype=np.uint8)
+
+    def put(self, h: np.ndarray) -> None:
+        np.bitwise_or.at(self.held, *self._place(h))
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        at, bit = self._place(h)
+        return self.held[at] & bit > 0
 
-    def __missing__(self, word: str) -> int:
-        code = -1 - zlib.crc32(word.encode("utf-8", "surrogatepass"))
-        return code - (1 << 33) if word.isdigit() else code
 
+def put_all(bits: list[Bits], rows: DataFrame) -> None:
+    """Hashes (h, k) into the k-th bitmap; they pass through the driver in pieces and only the bitmaps stay."""
+    held: list[list[int]] = [[] for _ in bits]
+    for n, r in enumerate(rows.toLocalIterator(), 1):
+        held[r.k].append(r.h)
+        if n % 100_000 == 0:
+            for b, h in zip(bits, held, strict=True):
+                b.put(np.array(h, np.uint64))
+                h.clear()
+    for b, h in zip(bits, held, strict=True):
+        b.put(np.array(h, np.uint64))
 
-def canonical(raw: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+
+def coded(h: np.ndarray, number: np.ndarray, known: Bits, names: Bits, units: Bits) -> np.ndarray:
+    """Codes of words: their hash, and what they are in the last three bits."""
+    kind = np.where(known.has(h), np.where(names.has(h), NAME, np.where(units.has(h), UNIT, PLAIN)), UNKNOWN)
+    return ((h.astype(np.int64) & ((1 << 60) - 1)) << 3) | np.where(number, NUMBER, kind)
+
+
+def canonical(codes: np.ndarray) -> np.ndarray:
     """Codes with numbers, names and units replaced by typed placeholders; words that no item has stand for names."""
-    return np.where(raw >= 0, kinds[np.maximum(raw, 0)], np.where(raw < -(1 << 33), NUMBER, NAME))
+    kind = codes & 7
+    return np.where(kind == PLAIN, codes, np.where(kind == UNKNOWN, NAME, kind))
+
+
+def ordinals(h: np.ndarray, at: np.ndarray, far: int) -> np.ndarray:
+    """For each window the how manyth of its hash it is, counted anew after a step of more than ``far`` words."""
+    order = np.lexsort((at, h))
+    new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (np.diff(at[order]) > far)]) if len(h) else np.zeros(0, bool)
+    place = np.arange(len(h))
+    out = np.empty(len(h), np.int64)
+    out[order] = place - np.maximum.accumulate(np.where(new, place, 0)) if len(h) else place
+    return out
+
+
+def nth(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The hash of the n-th window of a hash."""
+    return _mixed(h + _MIX * (n.astype(np.uint64) + np.uint64(1))) >> np.uint64(3)
 
 
-def window_hashes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of the window that begins at each word, and whether it has enough words that are not placeholders."""
+def template_windows(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, words, hash, whether by its own words) of the windows of a text.
+
+    A window of five words, three of which are no placeholders, is hashed with its placeholders. Of another one its own words are hashed; and drawn out to the third word that is no placeholder, if it isn't
+    farther than ``REACH`` words, it is hashed with its placeholders again: so rows of numbers have templates as well, and no window is left out.
+    """
     n = len(codes) - WINDOW + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    h = np.zeros(n, np.uint64)
-    for j in range(WINDOW):
-        h = (h ^ codes[j : j + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    content = np.concatenate([[0], np.cumsum(codes >= FIRST)])
-    return h, content[WINDOW:] - content[:-WINDOW] >= CONTENT
+        none = np.zeros(0, np.int64)
+        return none, none, none.astype(np.uint64), none.astype(bool)
+    plain = codes & 7 == PLAIN
+    upto = np.concatenate([[0], np.cumsum(plain)])
+    at = np.arange(n)
+    full = upto[WINDOW:] - upto[:-WINDOW] >= CONTENT
+    general, own = running(canonical(codes).astype(np.uint64)), running(codes.astype(np.uint64) ^ _MIX)
+    where = np.append(np.flatnonzero(plain), np.full(CONTENT, 1 << 60))
+    reach = where[np.minimum(upto[:n] + CONTENT - 1, len(where) - 1)] + 1
+    long = np.flatnonzero(~full & (reach - at <= REACH) & (reach - at > WINDOW))
+    first, end = np.concatenate([at, long]), np.concatenate([at + WINDOW, reach[long]])
+    exact = np.concatenate([~full, np.zeros(len(long), bool)])
+    h = np.where(exact, spans(own, first, np.where(exact, end, first)), spans(general, first, np.where(exact, first, end))) >> np.uint64(3)
+    return first, end - first, h, exact
+
+
+def exact_windows(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the windows of five that begin at these words, by their own words."""
+    return spans(running(codes.astype(np.uint64) ^ _MIX), at, at + WINDOW) >> np.uint64(3)
+
+
+def packed(codes: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The codes of windows, as a binary column."""
+    upto = np.cumsum(size)
+    rows = codes[np.repeat(at - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.concatenate([[0], upto]) * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def item_windows(codes: np.ndarray, far: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, words, hash) of the windows by which an item is sought: one that it repeats often stands with its ordinal, and by its own words (again with its ordinal, if these are repeated often too)."""
+    first, size, h, exact = template_windows(codes)
+    _, which, times = np.unique(h, return_inverse=True, return_counts=True)
+    often = times[which] > REPEATS
+    out = [(first[~often], size[~often], h[~often]), (first[often], size[often], nth(h[often], ordinals(h[often], first[often], far)))]
+    again = np.flatnonzero(often & ~exact & (size == WINDOW))
+    if len(again):
+        g = exact_windows(codes, first[again])
+        _, which, times = np.unique(g, return_inverse=True, return_counts=True)
+        many = times[which] > REPEATS
+        out += [(first[again[~many]], size[again[~many]], g[~many]), (first[again[many]], size[again[many]], nth(g[many], ordinals(g[many], first[again[many]], far)))]
+    return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
+
+
+def text_windows(codes: np.ndarray, there: Bits, often: Bits, far: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, words, hash) of the windows of a text that may be an item's. often: hashes that items have with ordinals."""
+    first, size, h, exact = template_windows(codes)
+    more = np.flatnonzero(~exact & (size == WINDOW))
+    first, size, h = np.concatenate([first, first[more]]), np.concatenate([size, size[more]]), np.concatenate([h, exact_windows(codes, first[more])])
+    one, many = there.has(h), np.flatnonzero(often.has(h))
+    out = [(first[one], size[one], h[one])]
+    if len(many):
+        g = nth(h[many], ordinals(h[many], first[many], far))
+        ok = there.has(g)
+        out.append((first[many][ok], size[many][ok], g[ok]))
+    return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
 
 
 def chains(doc: np.ndarray, item: np.ndarray, far: int) -> Iterator[np.ndarray]:
@@ -159,35 +328,38 @@ def _stretches(doc: np.ndarray, far: int) -> Iterator[tuple[int, int]]:
     return zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)
 
 
-def _vocabulary(items: DataFrame) -> tuple[Codes, np.ndarray]:
-    """Codes of the items' words and the canonical code of each."""
-    schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("kind", T.IntegerType())])
+def _vocabulary(items: DataFrame) -> DataFrame:
+    """(h, k) of the items' words: k is 0 for every word, 1 for names (in capitals' case inside a sentence half of the time at least), 2 for units (behind a number a third of the time at least)."""
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("h", "n", "name", "unit")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kind: dict[str, int] = {}
+            h, n, name, unit = [], [], [], []
             for x in b.column(1):
                 body = passage(x.as_py())
-                for w in words(body):
-                    kind.setdefault(w, NUMBER if w.isdigit() else 0)
-                for found, code in ((_NAME.findall(body), NAME), (_UNIT.findall(body), UNIT)):
-                    for w in found:
-                        kind[w.lower()] = code
-            yield pa.RecordBatch.from_arrays([pa.array(list(kind), pa.string()), pa.array(list(kind.values()), pa.int32())], schema.names)
-
-    found = items.mapInArrow(run, schema).groupBy("word").agg(F.max("kind").alias("kind")).limit(MAX_VOCABULARY + 1).collect()
-    if len(found) > MAX_VOCABULARY:
-        raise ValueError(f"the items have more than {MAX_VOCABULARY} different words")
-    found = sorted((r.word, r.kind) for r in found)
-    codes = Codes({w: k + FIRST for k, (w, _) in enumerate(found)})
-    kinds = np.zeros(len(found) + FIRST, np.int64)
-    kinds[: FIRST] = np.arange(FIRST)
-    for k, (w, kind) in enumerate(found):
-        kinds[k + FIRST] = UNIT if w in MEASURES else kind or k + FIRST
-    return codes, kinds
-
-
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, least: float = 1 / 3, template: float = 2 / 3, slots_equal: float = 0.6, far: int = 300) -> DataFrame:
+                own = word_hashes(body)[0]
+                named, behind = [word_hashes(w)[0] for w in _NAME.findall(body)], [word_hashes(w)[0][:1] for w in _UNIT.findall(body)]
+                h += [own, *named, *behind]
+                sizes = [len(own), sum(map(len, named)), sum(map(len, behind))]
+                for out, k in ((n, 0), (name, 1), (unit, 2)):
+                    out.append(np.repeat(np.arange(3) == k, sizes).astype(np.int64))
+            if h:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (h, n, name, unit)], schema.names)
+
+    found = items.mapInArrow(run, schema).groupBy("h").agg(F.sum("n").alias("n"), F.sum("name").alias("name"), F.sum("unit").alias("unit"))
+    kinds = F.array(F.lit(0), F.when(F.col("name") * 2 >= F.col("n"), 1), F.when(F.col("unit") * 3 >= F.col("n"), 2))
+    return found.select("h", F.explode(F.array_compact(kinds)).alias("k"))
+
+
+def _bitmaps(rows: DataFrame, n: int) -> list[Bits]:
+    rows = cut(rows)
+    sizes = dict(rows.groupBy("k").count().collect())
+    bits = [Bits(sizes.get(k, 0)) for k in range(n)]
+    put_all(bits, rows)
+    return bits
+
+
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, least: float = 1 / 3, template: float = 2 / 3, slots_equal: float = 0.6, far: int = 300, broadcast: int = BROADCAST_WINDOWS) -> DataFrame:
     """Pairs of text and leaked item: ``doc_id, item_id, share, template_share, slot_agreement, kind``.
 
     share: part of the item's words that stand in the text in the item's order, steps of at most ``far`` words of the text between neighbours (a passage may go on in a nearby cell).
@@ -195,105 +367,131 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id
     kind ``same``: share is at least ``least`` and slot_agreement at least ``slots_equal`` (look-alikes share a template's words but not its slots). kind ``reparameterised``: it is not that, but
     template_share is at least ``template`` and each value of the item is replaced by the same value wherever it occurs.
 
-    Method: texts and items are brought to words, numbers, names and units become typed placeholders, and windows of five are hashed. Windows of texts that can't be an item's are dropped by a bitmap
-    of bounded size; the rest meets the items' windows in a hash join. What a join brings together is one text's words beside one item's; the slots of the matched windows then
+    Method: texts and items are brought to words; numbers, names and units become typed placeholders, by rule: a word that begins with a numeral, one that the items write as a name half of the time or behind a number a third of the
+    time at least, and in texts one that no item has. Windows are hashed (see ``template_windows``: no window is left out) and joined by hash; windows of texts that can't be an item's are dropped before by a bitmap
+    of bounded size. What a join brings together is one text's words beside one item's; the slots of the matched windows then
     decide which words really are equal. Each stretch of the text without a step over ``far`` words is judged by its longest ascending chains, and again by those of its runs whose own slots agree;
     the pair is reported if one of them is a leak, with the figures of the one of greatest share.
 
-    Defined results: null and empty texts have no pairs, nor have items of fewer than five words. Items with equal passages are both reported. A repeated or null doc_id is a text of its own each time,
-    so a pair may then occur twice. Texts of any length are read whole. Extra columns are left out.
+    Skew: items of equal words are sought once and expanded at the end; a window that an item repeats is paired by its ordinal, so a text of repetitions meets it once for each of its words at most. With more than
+    ``broadcast`` windows of items their table is not broadcast: the join is one that splits windows which many texts have, and a text's part with one item is a key of its own.
+
+    Defined results: null and empty texts have no pairs, nor have items of fewer than five words (a character of a script without spaces is a word). Items with equal passages are both reported.
+    A repeated or null doc_id is a text of its own each time, so a pair may then occur twice. Texts of any length are read whole. Extra columns are left out.
     """
     spark = docs.sparkSession
     items = items.select(F.col(f"`{item_id}`").alias("item"), F.col(f"`{item_text}`").alias("text"))
-    codes, kinds = _vocabulary(items)
-    shared = spark.sparkContext.broadcast((codes, kinds))
+    vocabulary = spark.sparkContext.broadcast(_bitmaps(_vocabulary(items), 3))
     item_kind, doc_kind = items.schema["item"].dataType, docs.schema[doc_id].dataType
-    i_schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("item", item_kind), T.StructField("ik", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("of", T.IntegerType()), T.StructField("item_words", T.BinaryType())])
 
-    def raw_codes(text: str) -> np.ndarray:
-        look = shared.value[0]
-        return np.concatenate([np.fromiter(map(look.__getitem__, words(x)), np.int64) for x in chunks(text)])
+    def codes_of(text: str) -> np.ndarray:
+        parts = [word_hashes(x) for x in chunks(text)]
+        return coded(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), *vocabulary.value)
+
+    # items of equal words are one passage
+    member_schema = T.StructType([T.StructField("item", item_kind), T.StructField("passage", T.BinaryType()), T.StructField("codes", T.BinaryType())])
+
+    def members_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [codes_of(passage(x.as_py())).tobytes() for x in b.column(1)]
+            ok = pa.array([len(r) >= 8 * WINDOW for r in raw], pa.bool_())
+            key = [np.frombuffer(r, np.uint64) for r in raw]
+            key = [bytes(np.array([_mixed(running(k)[-1:])[0], _mixed(running(k ^ _MIX)[-1:])[0]], np.uint64).tobytes()) for k in key]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key, pa.binary()), pa.array(raw, pa.binary())], member_schema.names).filter(ok)
 
-    def packed(raw: np.ndarray, at: np.ndarray) -> pa.Array:
-        rows = np.ascontiguousarray(raw[at[:, None] + np.arange(WINDOW)])
-        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * WINDOW), len(at), [None, pa.py_buffer(rows)]).cast(pa.binary())
+    members = cut(items.mapInArrow(members_of, member_schema))
+    i_schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("plain", T.BooleanType()), T.StructField("passage", T.BinaryType()), T.StructField("ik", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("of", T.IntegerType()), T.StructField("item_words", T.BinaryType())])
 
-    def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, k = TaskContext.get().partitionId(), 0
         for b in batches:
             for r in range(b.num_rows):
-                raw = raw_codes(passage(b.column(1)[r].as_py()))
-                h, good = window_hashes(canonical(raw, shared.value[1]))
-                at = np.flatnonzero(good)
-                n, k = len(at), k + 1
-                if n:
-                    yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), b.column(0).take(pa.array([r] * n)), pa.array(np.full(n, (pid << 32) + k)), pa.array(at.astype(np.int32)), pa.array(np.full(n, len(raw), np.int32)), packed(raw, at)], i_schema.names)
-
-    windows = items.mapInArrow(item_windows, i_schema)
-    distinct = windows.select("h").distinct()
-    # the bitmap: at most BROADCAST_ROWS hashes come to the driver; with more, all windows of the texts go into the join
-    some = [r.h for r in distinct.limit(BROADCAST_ROWS + 1).collect()]
-    few = len(some) <= BROADCAST_ROWS
-    bits = max(16, int(np.ceil(np.log2(64 * max(1, len(some)))))) if few else 0
-    flags = np.zeros(1 << bits, bool)
-    if few:
-        flags[(np.array(some, np.int64).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)] = True
-    bitmap = spark.sparkContext.broadcast(np.packbits(flags))
+                raw = np.frombuffer(b.column(1)[r].as_py(), np.int64)
+                first, size, h = item_windows(raw, far)
+                n, k = len(h), k + 1
+                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(np.ones(n, bool)), b.column(0).take(pa.array([r] * n)), pa.array(np.full(n, (pid << 32) + k)), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(np.full(n, len(raw), np.int32)), packed(raw, first, size)], i_schema.names)
+                # the hashes of which this item has ordinals
+                often = np.unique(np.concatenate([_often(raw, False), _often(raw, True)]))
+                m = len(often)
+                if m:
+                    zero = pa.array(np.zeros(m, np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(often.astype(np.int64)), pa.array(np.zeros(m, bool)), b.column(0).take(pa.array([r] * m)), pa.array(np.zeros(m, np.int64)), zero, zero, zero, pa.array([b""] * m, pa.binary())], i_schema.names)
+
+    everything = cut(members.groupBy("passage").agg(F.first("codes").alias("codes")).mapInArrow(windows_of, i_schema))
+    windows = everything.where("plain").drop("plain")
+    bitmap = spark.sparkContext.broadcast(_bitmaps(everything.select("h", F.when(F.col("plain"), 0).otherwise(1).alias("k")).distinct(), 2))
     d_schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc", doc_kind), T.StructField("pos", T.IntegerType()), T.StructField("dh", T.LongType()), T.StructField("doc_words", T.BinaryType())])
 
     def doc_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
-        there = np.unpackbits(bitmap.value).view(bool) if few else None
         for b in batches:
             for r in range(b.num_rows):
                 row += 1
                 if not b.column(1)[r].is_valid:
                     continue
-                raw = raw_codes(b.column(1)[r].as_py())
-                h, good = window_hashes(canonical(raw, shared.value[1]))
-                if few and len(h):
-                    good &= there[(h >> np.uint64(64 - bits)).astype(np.int64)]
-                at = np.flatnonzero(good)
-                n = len(at)
+                raw = codes_of(b.column(1)[r].as_py())
+                first, size, h = text_windows(raw, *bitmap.value, far)
+                n = len(h)
                 if n:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row)), b.column(0).take(pa.array([r] * n)), pa.array(at.astype(np.int32)), pa.array(h[at].view(np.int64)), packed(raw, at)], d_schema.names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row)), b.column(0).take(pa.array([r] * n)), pa.array(first.astype(np.int32)), pa.array(h.astype(np.int64)), packed(raw, first, size)], d_schema.names)
 
     hits = docs.select(F.col(f"`{doc_id}`"), F.col(f"`{doc_text}`")).mapInArrow(doc_windows, d_schema)
-    total = windows.count()
-    met = hits.join(F.broadcast(windows) if total <= BROADCAST_ROWS else windows, F.col("dh") == F.col("h"))
-    met = met.select("row", "doc", "pos", "doc_words", "item", "ik", "at", "of", "item_words")
-    if total > BROADCAST_ROWS:  # else a text's rows still follow one another
-        met = met.repartition("row").sortWithinPartitions("row")
-    out = T.StructType([T.StructField("doc", doc_kind), T.StructField("item", item_kind), T.StructField("share", T.DoubleType()), T.StructField("template_share", T.DoubleType()), T.StructField("slot_agreement", T.DoubleType()), T.StructField("kind", T.StringType())])
+    few = windows.limit(broadcast + 1).count() <= broadcast
+    met = hits.join(F.broadcast(windows), F.col("dh") == F.col("h")) if few else skew_join(cut(hits), windows, "dh", "h")
+    met = met.select("row", "ik", "doc", "pos", "doc_words", "passage", "at", "of", "item_words")
+    if not few:  # else a text's rows still follow one another
+        met = met.repartition("row", "ik").sortWithinPartitions("row", "ik")
+    out = T.StructType([T.StructField("doc", doc_kind), T.StructField("passage", T.BinaryType()), T.StructField("share", T.DoubleType()), T.StructField("template_share", T.DoubleType()), T.StructField("slot_agreement", T.DoubleType()), T.StructField("kind", T.StringType())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds_ = shared.value[1]
-        for g in groups(batches, 1):
-            n = g.num_rows
-            pos, ik, at, of = (g.column(k).to_numpy().astype(np.int64) for k in (2, 5, 6, 7))
-            a, b = (np.frombuffer(b"".join(g.column(k).to_pylist()), np.int64).reshape(n, WINDOW) for k in (3, 8))
-            equal = a == b
+        for g in groups(batches, 1 if few else 2):
+            g = g.filter(pa.array(np.equal(*(_sizes(g.column(k)) for k in (4, 8)))))  # windows of other sizes only share a hash
+            if not g.num_rows:
+                continue
+            ik, pos, at, of = (g.column(k).to_numpy().astype(np.int64) for k in (1, 3, 6, 7))
+            size = _sizes(g.column(4))
+            a, b = (np.frombuffer(b"".join(g.column(k).to_pylist()), np.int64) for k in (4, 8))
+            inner = np.arange(len(a)) - np.repeat(np.cumsum(size) - size, size)
+            p, i, from_ = np.repeat(pos, size) + inner, np.repeat(at, size) + inner, np.repeat(np.arange(len(ik)), size)
             _, which = np.unique(ik, return_inverse=True)
             # words of each item that some window covers, and those of them that are equal: an upper bound that settles most pairs
-            span = int((at + WINDOW).max())
-            key = (which[:, None] * span + at[:, None] + np.arange(WINDOW)).ravel()
-            size = (int(which.max()) + 1) * span
-            covered, same_ = np.zeros(size, bool), np.zeros(size, bool)
+            span = int((at + size).max())
+            key = which[from_] * span + i
+            covered, same_ = np.zeros((int(which.max()) + 1) * span, bool), np.zeros((int(which.max()) + 1) * span, bool)
             covered[key] = True
-            same_[key[equal.ravel()]] = True
+            same_[key[a == b]] = True
             length = np.zeros(int(which.max()) + 1)
             length[which] = of
             by = lambda x: x.reshape(-1, span).sum(1) / length
-            for w in np.flatnonzero((by(same_) >= least) | (by(covered) >= template)).tolist():
-                rows = np.flatnonzero(which == w)
-                p, i = (pos[rows, None] + np.arange(WINDOW)).ravel(), (at[rows, None] + np.arange(WINDOW)).ravel()
-                x, y = a[rows].ravel(), b[rows].ravel()
-                _, once = np.unique(p * (1 << 24) + i, return_index=True)
-                p, i, x, y = p[once], i[once], x[once], y[once]
-                found_ = verdict(p, i, x, y, kinds_[np.maximum(y, 0)] < FIRST, int(length[w]), least, template, slots_equal, far)
+            wanted = (by(same_) >= least) | (by(covered) >= template)
+            order = np.argsort(which[from_], kind="stable")
+            bounds = np.searchsorted(which[from_][order], np.arange(len(length) + 1))
+            for w in np.flatnonzero(wanted).tolist():
+                rows = order[bounds[w] : bounds[w + 1]]
+                _, once = np.unique(p[rows] * (1 << 24) + i[rows], return_index=True)
+                rows = rows[once]
+                found_ = verdict(p[rows], i[rows], a[rows], b[rows], b[rows] & 7 != PLAIN, int(length[w]), least, template, slots_equal, far)
                 if found_:
-                    r = int(rows[0])
-                    yield pa.RecordBatch.from_arrays([g.column(1).slice(r, 1), g.column(4).slice(r, 1), *(pa.array([v]) for v in found_)], out.names)
+                    r = int(from_[rows[0]])
+                    yield pa.RecordBatch.from_arrays([g.column(2).slice(r, 1), g.column(5).slice(r, 1), *(pa.array([v]) for v in found_)], out.names)
+
+    found = met.mapInArrow(judge, out).withColumnRenamed("passage", "p")
+    ids = members.select("passage", "item")
+    ids = F.broadcast(ids) if few else ids
+    return found.join(ids, F.col("p") == F.col("passage")).select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "share", "template_share", "slot_agreement", "kind")
+
+
+def _sizes(words_: pa.Array) -> np.ndarray:
+    """Words of packed windows."""
+    return np.diff(np.frombuffer(words_.buffers()[1], np.int32)[words_.offset : words_.offset + len(words_) + 1]).astype(np.int64) // 8
+
 
-    found = met.mapInArrow(judge, out)
-    return found.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "share", "template_share", "slot_agreement", "kind")
+def _often(codes: np.ndarray, own: bool) -> np.ndarray:
+    """Hashes of windows that an item repeats so often that it has them with ordinals; own: those of windows by their own words."""
+    first, size, h, exact = template_windows(codes)
+    hashes, which, times = np.unique(h, return_inverse=True, return_counts=True)
+    if not own:
+        return hashes[times > REPEATS]
+    again = first[(times[which] > REPEATS) & ~exact & (size == WINDOW)]
+    hashes, times = np.unique(exact_windows(codes, again), return_counts=True)
+    return hashes[times > REPEATS]

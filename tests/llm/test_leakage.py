@@ -89,3 +89,103 @@ def test_look_alike_does_not_hide_a_passage(spark, apart, part):
     gap = " " + FILLER * apart
     docs = [(1, half), (2, look_alike(p)), (3, half + gap + look_alike(p)), (4, look_alike(p) + gap + half), (5, look_alike(p) + gap + look_alike(p))]
     assert found(spark, docs, [(1, ITEM + p)]) == [(1, 1), (3, 1), (4, 1)]
+
+
+# --- numbers, scripts without spaces, repetitions
+
+HAN = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余成岁律吕调阳云腾致雨露结为霜金生丽水玉出昆冈剑号巨阙珠称夜光果珍李柰菜重芥姜海咸河淡鳞潜羽翔"
+
+
+def rows_of_numbers(seed, rows=40):
+    r = random.Random(seed)
+    return "\n".join(f"row {k} value {r.randint(0, 999)} {r.randint(0, 999)} {r.random():.4f}" for k in range(rows))
+
+
+def unspaced(seed, n=120):
+    r = random.Random(seed)
+    return "".join(r.choice(HAN) for _ in range(n))
+
+
+def only_numbers(seed, n=150):
+    r = random.Random(seed)
+    return " ".join(str(r.randint(0, 99_999)) for _ in range(n))
+
+
+def other_numbers(text, by=7):
+    """Each number replaced by another one, the same wherever it stands."""
+    import re
+
+    return re.sub(r"\d+", lambda m: str(int(m[0]) * 3 + by), text)
+
+
+KINDS = {"ordinary": passage, "rows of numbers": rows_of_numbers, "unspaced": unspaced, "only numbers": only_numbers}
+
+
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+@pytest.mark.parametrize("kind", KINDS)
+def test_copies_of_every_kind_of_text(spark, kind, broadcast):
+    make = KINDS[kind]
+    items = [(k, ITEM + make(k)) for k in range(6)]
+    docs = [(k, FILLER * 2 + make(k) + "\n" + FILLER) for k in range(6)] + [(10 + k, FILLER + make(k)[len(make(k)) // 2 :]) for k in range(6)] + [(20 + k, make(100 + k)) for k in range(6)]
+    d = spark.createDataFrame(docs, "doc bigint, text string")
+    i = spark.createDataFrame(items, "id bigint, body string")
+    got = {(r.doc, r.id) for r in leaks(d, i, "doc", "text", "id", "body", broadcast=broadcast).where("kind = 'same'").collect()}
+    assert got == {(k, k) for k in range(6)} | {(10 + k, k) for k in range(6)}
+
+
+@pytest.mark.parametrize("kind", ["ordinary", "rows of numbers"])
+def test_other_values_in_every_kind_of_text(spark, kind):
+    text = KINDS[kind](3)
+    assert found(spark, [(1, FILLER + other_numbers(text) + FILLER)], [(1, ITEM + text)], "reparameterised") == [(1, 1)] or kind == "ordinary"
+    if kind == "ordinary":
+        assert found(spark, [(1, look_alike(text))], [(1, ITEM + text)]) == []
+
+
+def test_unspaced_text_with_other_values(spark):
+    text = "某商店有12个苹果和7个梨，小明买了3个苹果，又买了2个梨，请问商店还剩下多少水果，小明一共拿走多少水果，列出算式并写出答案"
+    assert found(spark, [(1, FILLER + text)], [(1, ITEM + text)]) == [(1, 1)]
+    other = text.replace("12", "95").replace("7", "48").replace("3", "26").replace("2个", "11个")
+    got = found(spark, [(1, FILLER + other)], [(1, ITEM + text)]) + found(spark, [(1, FILLER + other)], [(1, ITEM + text)], "reparameterised")
+    assert got == [(1, 1)]
+
+
+def test_a_passage_of_repetitions_in_a_long_log(spark):
+    log = "\n".join(f"row {k} value {k * 7919 % 100_003} {k % 13} 0 0 0 0 0 0" for k in range(30_000))
+    lines = log.split("\n")
+    items = [(1, ITEM + "\n".join(lines[20_000:20_060])), (2, ITEM + "0 " * 200), (3, ITEM + "\n".join(f"row {k} value {k * 31 % 97} 5 0 0 0 0 0 0" for k in range(60)))]
+    docs = [(1, log), (2, FILLER + "0 " * 90 + FILLER), (3, FILLER)]
+    got = found(spark, docs, items)
+    assert (1, 1) in got and (2, 2) in got and not [p for p in got if p[0] == 3 or p == (2, 1)]
+
+
+def test_words_at_once_are_the_words_one_by_one():
+    from millrace.llm.leakage import _mixed, running, spans, word_hashes
+
+    rng = random.Random(3)
+    alphabet = list("ab Z_9.,;\n\t\\n&lt;<b>é日本ไทยß½٣́​😀") + ["\\u0041", "&amp;", "<div>", "</p>", "ﬁ", "ｱ"]
+    for _ in range(300):
+        t = "".join(rng.choice(alphabet) for _ in range(60))
+        h, number = word_hashes(t)
+        own = words(t)
+        assert len(h) == len(own)
+        assert [int(word_hashes(w)[0][0]) for w in own] == h.tolist() if own else True
+        assert number.tolist() == [w[0].isnumeric() for w in own]
+    assert len({int(word_hashes(str(k))[0][0]) for k in range(20_000)}) == 20_000
+    x = np.arange(50, dtype=np.uint64)
+    s = running(np.concatenate([x, x]))
+    assert spans(s, np.array([3]), np.array([9])) == spans(s, np.array([53]), np.array([59])) and _mixed(x).dtype == np.uint64
+
+
+def test_many_windows_and_a_frequent_one(spark):
+    # more windows of items than are broadcast, and one stretch of words that all texts and items have
+    stock = "the committee of the northern province has approved the annual budget for the repair of roads"
+
+    def own(seed, n=30):
+        r = random.Random(seed)
+        return " ".join("".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(n))
+
+    items = [(k, f"{ITEM}{own(k)} {stock} {own(1000 + k, 20)}") for k in range(300)]
+    docs = [(k, f"{FILLER}{stock}. {own(k) if k % 10 == 0 else FILLER}") for k in range(300)]
+    d, i = spark.createDataFrame(docs, "doc bigint, text string"), spark.createDataFrame(items, "id bigint, body string")
+    got = sorted((r.doc, r.id) for r in leaks(d, i, "doc", "text", "id", "body", broadcast=1000).where("kind = 'same'").collect())
+    assert got == [(k, k) for k in range(0, 300, 10)]
