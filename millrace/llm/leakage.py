@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -107,13 +107,31 @@ def _classes() -> np.ndarray:
     return _tables["classes"]
 
 
+def _letters() -> np.ndarray:
+    if "letters" not in _tables:
+        _tables["letters"] = _mixed(np.arange(0x110000, dtype=np.uint64) + _MIX)
+    return _tables["letters"]
+
+
 def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of stretches, from running sums of hashes times powers: the same for the same stretch wherever it stands."""
-    return _mixed((sums[end] - sums[start]) * _powers(_BACK, len(sums))[start])
+    return (sums[end] - sums[start]) * _powers(_BACK, len(sums))[start]
+
+
+def windows_of_five(sums: np.ndarray) -> np.ndarray:
+    """``spans`` of the five words from each word on."""
+    return (sums[WINDOW:] - sums[:-WINDOW]) * _powers(_BACK, len(sums))[: len(sums) - WINDOW]
 
 
 def running(values: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(values + _MIX) * _powers(_BASE, len(values))[: len(values)])])
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _powers(_BASE, len(values))[: len(values)], out=out[1:])
+    return out
+
+
+def own_sums(codes: np.ndarray) -> np.ndarray:
+    """Running sums for windows by their own words."""
+    return running(codes.astype(np.uint64) ^ _MIX)
 
 
 def word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -123,10 +141,39 @@ def word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
     kind = _classes()[codes]
     inside, own = kind & 3 > 0, kind & 3 == 2
-    joint = inside[1:] & inside[:-1] & ~own[1:] & ~own[:-1]  # the character belongs to the word of the one before
-    start = np.flatnonzero(inside & ~np.concatenate([[False], joint]))
-    end = np.flatnonzero(inside & ~np.concatenate([joint, [False]])) + 1
-    return spans(running(codes.astype(np.uint64)), start, end) >> np.uint64(3), kind[start] & 4 > 0
+    joint = inside[1:] & inside[:-1]  # the character belongs to the word of the one before
+    if own.any():
+        joint &= ~own[1:] & ~own[:-1]
+    edge = inside.copy()
+    edge[1:] &= ~joint
+    start = np.flatnonzero(edge)
+    edge = inside
+    edge[:-1] &= ~joint
+    end = np.flatnonzero(edge) + 1
+    return spans(running(_letters()[codes]), start, end) >> np.uint64(3), kind[start] & 4 > 0
+
+
+#: Characters that are brought to words at a time, so that arrays stay in the processor's cache.
+_PART = 1 << 14
+
+
+def all_word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    parts = [word_hashes(x) for x in chunks(text, _PART)]
+    return parts[0] if len(parts) == 1 else (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+
+
+class Marks:
+    """Flags of 61-bit hashes in a table of bytes: a hash may show flags of another one too, but never lacks its own."""
+
+    def __init__(self, entries: int) -> None:
+        self.bits = int(min(MOST_BITS - 2, max(16, np.ceil(np.log2(64 * max(1, entries))))))
+        self.held = np.zeros(1 << self.bits, np.uint8)
+
+    def put(self, h: np.ndarray, k: int) -> None:
+        self.held[(h >> np.uint64(61 - self.bits)).astype(np.int64)] |= np.uint8(1 << k)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        return self.held[(h >> np.uint64(61 - self.bits)).astype(np.int64)]
 
 
 class Bits:
@@ -135,36 +182,42 @@ class Bits:
     def __init__(self, entries: int) -> None:
         self.bits = int(min(MOST_BITS, max(16, np.ceil(np.log2(64 * max(1, entries))))))
         self.held = np.zeros(1 << (self.bits - 3), np.uint8)
-
-    def _place(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = h >> np.uint64(61 - self.bits)
-        return (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8), dtype=np.uint8)
+        self.empty = True
 
     def put(self, h: np.ndarray) -> None:
-        np.bitwise_or.at(self.held, *self._place(h))
+        at = (h >> np.uint64(61 - self.bits)).astype(np.int64)
+        np.bitwise_or.at(self.held, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        self.empty = self.empty and not len(h)
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        at, bit = self._place(h)
-        return self.held[at] & bit > 0
+        at = (h >> np.uint64(61 - self.bits)).astype(np.int64)
+        return (self.held[at >> 3] >> (at & 7)) & 1 > 0
 
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Which of the hashes are there."""
+        return np.zeros(0, np.int64) if self.empty else np.flatnonzero(self.has(h))
 
-def put_all(bits: list[Bits], rows: DataFrame) -> None:
-    """Hashes (h, k) into the k-th bitmap; they pass through the driver in pieces and only the bitmaps stay."""
-    held: list[list[int]] = [[] for _ in bits]
+
+def put_all(rows: DataFrame, put: Callable[[np.ndarray, int], None]) -> None:
+    """Puts hashes (h, k) into a table; they pass through the driver in pieces and only the table stays."""
+    held: dict[int, list[int]] = {}
     for n, r in enumerate(rows.toLocalIterator(), 1):
-        held[r.k].append(r.h)
+        held.setdefault(r.k, []).append(r.h)
         if n % 100_000 == 0:
-            for b, h in zip(bits, held, strict=True):
-                b.put(np.array(h, np.uint64))
-                h.clear()
-    for b, h in zip(bits, held, strict=True):
-        b.put(np.array(h, np.uint64))
+            for k, h in held.items():
+                put(np.array(h, np.uint64), k)
+            held = {}
+    for k, h in held.items():
+        put(np.array(h, np.uint64), k)
+
+
+#: What a word is by its flags: known, name, unit.
+_KIND = np.array([UNKNOWN if not f & 1 else NAME if f & 2 else UNIT if f & 4 else PLAIN for f in range(8)], np.int64)
 
 
-def coded(h: np.ndarray, number: np.ndarray, known: Bits, names: Bits, units: Bits) -> np.ndarray:
+def coded(h: np.ndarray, number: np.ndarray, marks: Marks) -> np.ndarray:
     """Codes of words: their hash, and what they are in the last three bits."""
-    kind = np.where(known.has(h), np.where(names.has(h), NAME, np.where(units.has(h), UNIT, PLAIN)), UNKNOWN)
-    return ((h.astype(np.int64) & ((1 << 60) - 1)) << 3) | np.where(number, NUMBER, kind)
+    return ((h.astype(np.int64) & ((1 << 60) - 1)) << 3) | np.where(number, NUMBER, _KIND[marks.of(h)])
 
 
 def canonical(codes: np.ndarray) -> np.ndarray:
@@ -198,23 +251,27 @@ def template_windows(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     if n <= 0:
         none = np.zeros(0, np.int64)
         return none, none, none.astype(np.uint64), none.astype(bool)
+    full, long, reach = _shapes(codes)
+    general = running(canonical(codes).astype(np.uint64))
+    h = np.concatenate([np.where(full, windows_of_five(general), windows_of_five(own_sums(codes))), spans(general, long, reach)]) >> np.uint64(3)
+    return np.concatenate([np.arange(n), long]), np.concatenate([np.full(n, WINDOW), reach - long]), h, np.concatenate([~full, np.zeros(len(long), bool)])
+
+
+def _shapes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which windows of five are templates; the first words of those that are drawn out, and where these end."""
     plain = codes & 7 == PLAIN
     upto = np.concatenate([[0], np.cumsum(plain)])
-    at = np.arange(n)
     full = upto[WINDOW:] - upto[:-WINDOW] >= CONTENT
-    general, own = running(canonical(codes).astype(np.uint64)), running(codes.astype(np.uint64) ^ _MIX)
+    at = np.flatnonzero(~full)
     where = np.append(np.flatnonzero(plain), np.full(CONTENT, 1 << 60))
-    reach = where[np.minimum(upto[:n] + CONTENT - 1, len(where) - 1)] + 1
-    long = np.flatnonzero(~full & (reach - at <= REACH) & (reach - at > WINDOW))
-    first, end = np.concatenate([at, long]), np.concatenate([at + WINDOW, reach[long]])
-    exact = np.concatenate([~full, np.zeros(len(long), bool)])
-    h = np.where(exact, spans(own, first, np.where(exact, end, first)), spans(general, first, np.where(exact, first, end))) >> np.uint64(3)
-    return first, end - first, h, exact
+    reach = where[np.minimum(upto[at] + CONTENT - 1, len(where) - 1)] + 1
+    ok = reach - at <= REACH
+    return full, at[ok], reach[ok]
 
 
 def exact_windows(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Hashes of the windows of five that begin at these words, by their own words."""
-    return spans(running(codes.astype(np.uint64) ^ _MIX), at, at + WINDOW) >> np.uint64(3)
+    return spans(own_sums(codes), at, at + WINDOW) >> np.uint64(3)
 
 
 def packed(codes: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -241,15 +298,25 @@ def item_windows(codes: np.ndarray, far: int) -> tuple[np.ndarray, np.ndarray, n
 
 def text_windows(codes: np.ndarray, there: Bits, often: Bits, far: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word, words, hash) of the windows of a text that may be an item's. often: hashes that items have with ordinals."""
-    first, size, h, exact = template_windows(codes)
-    more = np.flatnonzero(~exact & (size == WINDOW))
-    first, size, h = np.concatenate([first, first[more]]), np.concatenate([size, size[more]]), np.concatenate([h, exact_windows(codes, first[more])])
-    one, many = there.has(h), np.flatnonzero(often.has(h))
-    out = [(first[one], size[one], h[one])]
-    if len(many):
-        g = nth(h[many], ordinals(h[many], first[many], far))
+    if len(codes) < WINDOW:
+        none = np.zeros(0, np.int64)
+        return none, none, none.astype(np.uint64)
+    full, long, reach = _shapes(codes)
+    general, three = running(canonical(codes).astype(np.uint64)), np.uint64(3)
+    out, many = [], []
+    # only stretches of words that items have can be an item's by their own words
+    strange = np.concatenate([[0], np.cumsum(codes & 7 == UNKNOWN)])
+    five, own = np.flatnonzero(full), np.flatnonzero(strange[WINDOW:] == strange[:-WINDOW])
+    for first, end, h in ((five, five + WINDOW, general), (own, own + WINDOW, own_sums(codes)), (long, reach, general)):
+        h = spans(h, first, end) >> three
+        for found, keep in ((there, out), (often, many)):
+            at = found.places(h)
+            keep.append((first[at], end[at] - first[at], h[at]))
+    again = tuple(np.concatenate([m[k] for m in many]) for k in range(3))
+    if len(again[0]):
+        g = nth(again[2], ordinals(again[2], again[0], far))
         ok = there.has(g)
-        out.append((first[many][ok], size[many][ok], g[ok]))
+        out.append((again[0][ok], again[1][ok], g[ok]))
     return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
 
 
@@ -337,7 +404,7 @@ def _vocabulary(items: DataFrame) -> DataFrame:
             h, n, name, unit = [], [], [], []
             for x in b.column(1):
                 body = passage(x.as_py())
-                own = word_hashes(body)[0]
+                own = all_word_hashes(body)[0]
                 named, behind = [word_hashes(w)[0] for w in _NAME.findall(body)], [word_hashes(w)[0][:1] for w in _UNIT.findall(body)]
                 h += [own, *named, *behind]
                 sizes = [len(own), sum(map(len, named)), sum(map(len, behind))]
@@ -351,11 +418,18 @@ def _vocabulary(items: DataFrame) -> DataFrame:
     return found.select("h", F.explode(F.array_compact(kinds)).alias("k"))
 
 
+def _marks(rows: DataFrame) -> Marks:
+    rows = cut(rows)
+    marks = Marks(rows.where("k = 0").count())
+    put_all(rows, marks.put)
+    return marks
+
+
 def _bitmaps(rows: DataFrame, n: int) -> list[Bits]:
     rows = cut(rows)
     sizes = dict(rows.groupBy("k").count().collect())
     bits = [Bits(sizes.get(k, 0)) for k in range(n)]
-    put_all(bits, rows)
+    put_all(rows, lambda h, k: bits[k].put(h))
     return bits
 
 
@@ -381,12 +455,11 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id
     """
     spark = docs.sparkSession
     items = items.select(F.col(f"`{item_id}`").alias("item"), F.col(f"`{item_text}`").alias("text"))
-    vocabulary = spark.sparkContext.broadcast(_bitmaps(_vocabulary(items), 3))
+    vocabulary = spark.sparkContext.broadcast(_marks(_vocabulary(items)))
     item_kind, doc_kind = items.schema["item"].dataType, docs.schema[doc_id].dataType
 
     def codes_of(text: str) -> np.ndarray:
-        parts = [word_hashes(x) for x in chunks(text)]
-        return coded(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), *vocabulary.value)
+        return coded(*all_word_hashes(text), vocabulary.value)
 
     # items of equal words are one passage
     member_schema = T.StructType([T.StructField("item", item_kind), T.StructField("passage", T.BinaryType()), T.StructField("codes", T.BinaryType())])

@@ -38,11 +38,11 @@ def encoder(path: str) -> tuple:
     return _loaded[path]
 
 
-def chunks(text: str) -> Iterator[str]:
+def chunks(text: str, size: int | None = None) -> Iterator[str]:
     """The text in parts whose tokens, put together, are those of the whole; keeps the work on very long texts in proportion."""
-    at = 0
-    while len(text) - at > _CHUNK:
-        m = _SAFE.search(text, at + _CHUNK)
+    at, size = 0, size or _CHUNK
+    while len(text) - at > size:
+        m = _SAFE.search(text, at + size)
         if m is None:
             break
         yield text[at : m.end()]
