@@ -8,6 +8,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,57 +36,87 @@ def _medians(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return key[start], (value[(start + end - 1) // 2] + value[(start + end) // 2]) / 2
 
 
-def seasonal(t: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Median course over the hours of the day, after a trend through the days' medians is taken off."""
+def seasonal(t: np.ndarray, x: np.ndarray, least: int = 5) -> np.ndarray:
+    """Median course over the hours of the day, after a level through the days' medians is taken off; smoothed over neighbouring hours, and drawn through those with fewer than ``least`` readings."""
     day, level = _medians(t // DAY, x)
-    hour, course = _medians(t // 3600 % 24, x - np.interp(t, day * DAY + DAY // 2, level))
+    hours = t // 3600 % 24
+    hour, course = _medians(hours, x - np.interp(t, day * DAY + DAY // 2, level))
+    enough = np.bincount(hours, minlength=24)[hour] >= least
+    if not enough.any():
+        return np.zeros(len(t))
+    hour, course = hour[enough], course[enough]
+    around = np.concatenate([course[-1:], course, course[:1]])
+    if len(course) > 2:
+        course = (around[:-2] + 2 * course + around[2:]) / 4
     return np.interp((t % DAY) / 3600 - 0.5, np.concatenate([[hour[-1] - 24], hour, [hour[0] + 24]]), np.concatenate([course[-1:], course, course[:1]]))
 
 
-def excursions(t: np.ndarray, x: np.ndarray, width: int, alpha: float, margin: float, back: float, floor: float) -> np.ndarray:
+def decomposed(t: np.ndarray, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Season, trend and remainder of readings in order of time. The trend is the running median of 2 * width + 1 readings without their season: it follows slopes and lasting steps, and nothing that lasts ``width`` readings or less."""
+    season = seasonal(t, x)
+    y = x - season
+    around = np.concatenate([y[:width][::-1], y, y[-width:][::-1]]) if len(y) > width else np.pad(y, width, mode="edge")
+    trend = np.median(sliding_window_view(around, 2 * width + 1), axis=1)
+    return season, trend, y - trend
+
+
+def spreads(size: np.ndarray, octave: np.ndarray, least: float, sample: int, growth: float) -> np.ndarray:
+    """For each octave of intervals the median of what is usual in it; where fewer than ``sample`` readings tell it, ``growth`` times that of the octave before."""
+    out, now = np.zeros(int(octave.max()) + 1), least
+    for k in range(len(out)):
+        here = size[octave == k]
+        now = max(now, float(np.median(here))) if len(here) >= sample else now * growth if k else now
+        out[k] = now
+    return out
+
+
+def generalised_esd(size: np.ndarray, scale: np.ndarray, least: float, most: int, alpha: float, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which deviations are extreme, and for each how far an extreme one would have to go.
+
+    The largest deviation (in units of its scale) is taken away, the spread of the rest is estimated anew, and so on up to ``most`` times; what was taken up to the last one that is beyond
+    ``margin`` times its limit is extreme. Spread is the median absolute deviation, so its estimate after each step is the middle one of the deviations that are left, which one sort gives.
+    """
+    n = len(size)
+    z = size / scale
+    order = np.argsort(-z, kind="stable")
+    step = np.arange(most)
+    left = np.minimum(1.0, z[order[np.minimum(step + (n - step) // 2, n - 1)]])
+    limits = margin * esd_limits(n, most, alpha)
+    taken = order[:most]
+    beyond = np.flatnonzero(size[taken] > limits * 1.4826 * np.maximum(scale[taken] * left, least))
+    out = np.zeros(n, bool)
+    last = int(beyond[-1]) if len(beyond) else 0
+    if len(beyond):
+        out[order[: last + 1]] = True
+    return out, limits[last] * 1.4826 * np.maximum(scale * left[last], least)
+
+
+def excursions(t: np.ndarray, x: np.ndarray, width: int, alpha: float, margin: float, back: float, floor: float, most: float = 0.2, sample: int = 15, growth: float = 1.6, away: float = 0.7) -> np.ndarray:
     """Which readings stand in an excursion of at most ``width`` readings that leaves its surroundings and returns.
 
-    The remainder of a block of readings is its least deviation, all to one side, from the line between the readings before and after, once
-    the daily course is off. Scale is the median deviation of single readings with neighbours as far apart (in powers of two of the usual
-    interval), so that silent periods and slow stations are judged by what they usually do. Blocks whose remainder is within
-    ``margin`` times the ESD limit, or whose two sides differ by more than ``back`` of it (a lasting change), are not marked.
+    Remainders of the decomposition go through the generalised ESD test, at most the part ``most`` of all readings being taken out. Their scale is that of remainders with neighbours as far apart (in powers
+    of two of the usual interval), so that silent periods and slow stations are judged by what they usually do. Of what is beyond the limits, a block is marked if it is at most ``width`` long and all on one side,
+    if it stands off the readings before and after it by ``away`` times the limit at least, and if these differ by at most ``back`` times that step (else the change lasts).
     """
     n = len(x)
     marked = np.zeros(n, bool)
     if n < 5:
         return marked
-    y = x - seasonal(t, x)
+    season, _, remainder = decomposed(t, x, width)
     step = max(float(np.median(np.diff(t))), 1.0)
+    gap = np.diff(t, prepend=t[0] - step, append=t[-1] + step)
+    octave = np.maximum(np.floor(np.log2(np.maximum(np.maximum(gap[:-1], gap[1:]), 1) / step)), 0).astype(int)
     grain = 10.0 if np.mean(x % 10 == 0) > 0.95 else 5.0 if np.mean(x % 5 == 0) > 0.95 else 1.0
-    least = max(floor, grain / 2)
-    z = np.zeros(n)
-    scale = np.zeros(0)
-    for m in range(1, min(width, n - 2) + 1):
-        i = np.arange(1, n - m)
-        before, after, ta, tb = y[i - 1], y[i + m], t[i - 1].astype(float), t[i + m].astype(float)
-        inner = i[None, :] + np.arange(m)[:, None]
-        off = y[inner] - (before + (after - before) * (t[inner] - ta) / np.maximum(tb - ta, 1))
-        side = np.sign(off[0])
-        apart = np.max(np.diff(t[np.concatenate([i[None, :] - 1, inner, i[None, :] + m])], axis=0), axis=0)
-        octave = np.clip(np.floor(np.log2(np.maximum(apart, 1) / step)), 0, 8).astype(int)
-        if m == 1:
-            scale, now = np.zeros(9), least
-            for k in range(9):
-                here = np.abs(off[0][octave == k])
-                now = max(now, float(np.median(here))) if len(here) >= 15 else now * 1.6 if k else now
-                scale[k] = now
-        jump = np.minimum(((x[inner] - x[i - 1]) * side).min(0), ((x[inner] - x[i + m]) * side).min(0))
-        size = np.minimum(np.where((np.sign(off) == side).all(0), np.abs(off).min(0), 0), np.maximum(jump, 0))
-        size[np.abs(after - before) > back * size] = 0
-        score = size / (scale[octave] * 1.4826)
-        for k in range(m):
-            np.maximum.at(z, inner[k], score)
-    most = max(1, n // 5)
-    order = np.argsort(-z, kind="stable")[:most]
-    beyond = np.flatnonzero(z[order] > margin * esd_limits(n, most, alpha))
-    if len(beyond):
-        marked[order[: beyond[-1] + 1]] = True
-    return marked & (z > 0)
+    least, size = max(floor, grain / 2), np.abs(remainder)
+    extreme, limit = generalised_esd(size, spreads(size, octave, least, sample, growth)[octave], least, max(1, int(n * most)), alpha, margin)
+    y, at = x - season, np.flatnonzero(extreme)
+    new = np.diff(at) > 1
+    for a, b in zip(at[np.concatenate([[True], new])].tolist(), at[np.concatenate([new, [True]])].tolist(), strict=True) if len(at) else ():
+        side = np.sign(remainder[a])
+        if b - a < width and a > 0 and b < n - 1 and (np.sign(remainder[a : b + 1]) == side).all():
+            off = min(((y[a : b + 1] - y[a - 1]) * side).min(), ((y[a : b + 1] - y[b + 1]) * side).min())
+            marked[a : b + 1] = off > away * limit[a : b + 1].max() and abs(y[b + 1] - y[a - 1]) <= back * off
+    return marked
 
 
 def implausible(
@@ -97,9 +128,13 @@ def implausible(
     high: float,
     width: int = 3,
     alpha: float = 0.001,
-    margin: float = 1.2,
+    margin: float = 1.7,
     back: float = 0.7,
     floor: float = 2.0,
+    most: float = 0.2,
+    sample: int = 15,
+    growth: float = 1.6,
+    away: float = 0.7,
     least_run: int = 8,
     chance: float = 0.001,
     tile: int = 4096,
@@ -110,11 +145,11 @@ def implausible(
 
     range: outside [low, high]. frozen: a run of one value at least ``least_run`` long and so long that a source repeating its value as often as this one does
     elsewhere would show it with probability ``chance`` at most. spike: up to ``width`` readings beyond ``margin`` times the generalised ESD limit (level ``alpha``)
-    of the remainder after a robust seasonal-trend decomposition, followed by a return.
+    of the remainder after a robust seasonal-trend decomposition, followed by a return; see ``excursions`` for the other parameters.
 
-    Method: one global sort on (source, time) by sampled quantiles. Partitions number their readings and report long and outermost runs; positions and
-    runs are stitched over partition edges with one row per partition. The decomposition works on tiles of ``tile`` consecutive readings of a source with ``halo``
-    readings on either side, so a source of any size is many tasks.
+    Method: one global sort on (source, time) by sampled quantiles. Partitions number their readings and their runs of one value and report long and outermost runs; positions and
+    runs are stitched over partition edges with two rows per partition, and a frozen run's readings are found by its number in its partition. The decomposition takes a source of less than two
+    ``tile`` readings as a whole, larger ones in tiles of ``tile`` to twice as many consecutive readings with ``halo`` more on either side, so a source of any size is many tasks.
 
     Defined results: rows with a null in source, time or value (or NaN) take no part and do not break a run; repeated rows count once; readings outside the limits are no part
     of runs or surroundings. A source with fewer than five readings has no spikes. An empty table gives an empty result. Only the named columns are read.
@@ -134,7 +169,7 @@ def implausible(
             T.StructField("place", T.LongType()),
             T.StructField("until", T.LongType()),
             T.StructField("n", T.LongType()),
-            T.StructField("runs", T.LongType()),
+            T.StructField("runs", T.LongType()),  # of a row or run: the number of its run in its partition; of a count: runs that begin
         ]
     )
 
@@ -144,8 +179,8 @@ def implausible(
             ints = [np.broadcast_to(x, k).astype(np.int64) for x in (gid, place, until, n, runs)]
             return pa.RecordBatch.from_arrays([pa.array([kind] * k, pa.string()), src, pa.array(np.broadcast_to(t, k).astype(np.int64)), pa.array(np.broadcast_to(v, k).astype(float)), pa.array(np.full(k, pid, np.int32)), *map(pa.array, ints)], schema.names)
 
-        last, gid, carry = None, -1, 0
-        held = None  # the open run: source, value, first time, last time, readings, whether it opens the partition
+        last, gid, carry, rid = None, -1, 0, -1
+        held = None  # the open run: source, value, first time, last time, readings, whether it opens the partition, its number
         for b in batches:
             bad = (b.column(2).to_numpy() < low) | (b.column(2).to_numpy() > high)
             if bad.any():
@@ -161,7 +196,9 @@ def implausible(
             place[: int(starts.argmax()) if starts.any() else n] += carry
             gids = gid + np.cumsum(starts)
             last, gid, carry = [b.column(k)[n - 1] for k in range(3)], int(gids[-1]), int(place[-1])
-            yield out("row", src, t, v, gids, place, t, 1, 0)
+            rids = rid + np.cumsum(new)
+            rid = int(rids[-1])
+            yield out("row", src, t, v, gids, place, t, 1, rids)
             s = np.flatnonzero(np.concatenate([[True], starts[1:]]))
             yield out("count", src.take(pa.array(s)), t[s], 0.0, 0, 0, t[s], np.diff(np.append(s, n)), np.add.reduceat(new.astype(np.int64), s))
             # runs of this batch; the first may go on from the batch before, the last is held open
@@ -173,27 +210,27 @@ def implausible(
                 begin[0], size[0], opens[0] = held[2], size[0] + held[4], held[5]
             elif held is not None:
                 if held[4] >= least_run or held[5]:
-                    yield out("run", held[0], held[2], held[1], int(held[5]), 0, held[3], held[4], 0)
+                    yield out("run", held[0], held[2], held[1], int(held[5]), 0, held[3], held[4], held[6])
             else:
                 opens[0] = True
             keep = np.flatnonzero((size >= least_run) | opens)
             keep = keep[keep < len(r) - 1]
             if len(keep):
-                yield out("run", src.take(pa.array(r[keep])), begin[keep], v[r[keep]], opens[keep].astype(int), 0, t[e[keep]], size[keep], 0)
-            held = (src.slice(int(r[-1]), 1), v[r[-1]], begin[-1], t[e[-1]], int(size[-1]), bool(opens[-1]))
+                yield out("run", src.take(pa.array(r[keep])), begin[keep], v[r[keep]], opens[keep].astype(int), 0, t[e[keep]], size[keep], rids[r[keep]])
+            held = (src.slice(int(r[-1]), 1), v[r[-1]], begin[-1], t[e[-1]], int(size[-1]), bool(opens[-1]), rid)
         if held is not None:
-            yield out("run", held[0], held[2], held[1], 2 + int(held[5]), 0, held[3], held[4], 0)  # gid of a run: 1 it opens, 2 it ends its partition, 3 both
+            yield out("run", held[0], held[2], held[1], 2 + int(held[5]), 0, held[3], held[4], held[6])  # gid of a run: 1 it opens, 2 it ends its partition, 3 both
 
     spark = df.sparkSession
     scanned = cut(range_scan(rows, [F.col("source").asc(), F.col("time").asc(), F.col("value").asc()], scan, schema, partitions))
 
     # runs at partition edges: at most two rows per partition come to the driver and are joined up there
-    outer = scanned.where("kind = 'run' and gid > 0").select("pid", "gid", "source", "value", "time", "until", "n").collect()
+    outer = scanned.where("kind = 'run' and gid > 0").select("pid", "gid", "source", "value", "n", "runs").collect()
     joined, open_ = [], None
     for r in sorted(outer, key=lambda r: (r.pid, r.gid == 2)):
-        piece = [r.source, r.value, r.time, r.until, r.n]
+        piece = [r.source, r.value, r.n, [(r.pid, r.runs)]]
         if r.gid != 2 and open_ is not None and same(open_[:2], piece[:2]):
-            piece = [*piece[:2], open_[2], r.until, open_[4] + r.n]
+            piece = [*piece[:2], open_[2] + r.n, open_[3] + piece[3]]
         elif open_ is not None:
             joined.append(open_)
             open_ = None
@@ -204,9 +241,9 @@ def implausible(
             open_ = piece
     if open_ is not None:
         joined.append(open_)
-    fields = [T.StructField("source", kinds[source]), T.StructField("value", T.DoubleType()), T.StructField("time", T.LongType()), T.StructField("until", T.LongType()), T.StructField("n", T.LongType())]
-    stitched = spark.createDataFrame([tuple(x) for x in joined if x[4] >= least_run], T.StructType(fields))
-    runs = scanned.where(f"kind = 'run' and gid = 0 and n >= {least_run}").select("source", "value", "time", "until", "n").unionByName(stitched)
+    parts_ = T.ArrayType(T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("run", T.LongType())]))
+    stitched = spark.createDataFrame([(x[0], x[2], x[3]) for x in joined if x[2] >= least_run], T.StructType([T.StructField("source", kinds[source]), T.StructField("n", T.LongType()), T.StructField("parts", parts_)]))
+    runs = scanned.where(f"kind = 'run' and gid = 0 and n >= {least_run}").select("source", "n", F.array(F.struct("pid", F.col("runs").alias("run"))).alias("parts")).unionByName(stitched)
 
     def longest(readings: Column, begun: Column) -> Column:
         repeat = F.least(F.greatest(1 - begun / F.greatest(readings, F.lit(1)), F.lit(0.001)), F.lit(0.999))
@@ -219,14 +256,16 @@ def implausible(
     first = rest(taken(runs).join(counts, "source")).select("source", "readings", "begun", F.col("limit").alias("first_limit"))
     again = taken(runs.join(first.select("source", "first_limit"), "source").where("n >= first_limit"))
     limits = rest(first.join(again, "source", "left")).select("source", "limit")
-    frozen = cut(runs.join(limits, "source").where("n >= limit").select(F.col("source").alias("s"), F.col("value").alias("v"), "time", "until").withColumnsRenamed({"time": "t0", "until": "t1"}))
-    readings = scanned.where("kind = 'row'").select("source", "time", "value", "pid", "gid", "place")
-    stuck = readings.join(small(frozen), (F.col("source") == F.col("s")) & (F.col("value") == F.col("v")) & F.col("time").between(F.col("t0"), F.col("t1")), "left_semi")
+    frozen = cut(runs.join(limits, "source").where("n >= limit").select(F.explode("parts").alias("x")).select(F.col("x.pid").alias("fp"), F.col("x.run").alias("fr")))
+    readings = scanned.where("kind = 'row'").select("source", "time", "value", "pid", "gid", "place", "runs")
+    stuck = readings.join(small(frozen), (F.col("pid") == F.col("fp")) & (F.col("runs") == F.col("fr")), "left_semi")
 
     ranked, offset = with_offsets(readings, chain(edges(readings, ["source"], "pid", "gid", F.lit(1))), "pid", "gid")
+    large = small(cut(counts.where(F.col("readings") >= 2 * tile).select(F.col("source").alias("ls"), (F.floor(F.col("readings") / tile) - 1).alias("last"))))  # the last tile takes in what is left over
     at = F.col("place") + F.col(offset) - 1
-    home = F.floor(at / tile)
-    near = F.array_compact(F.array(home, F.when((at % tile < halo) & (home > 0), home - 1), F.when(at % tile >= tile - halo, home + 1)))
+    ranked = ranked.join(large, F.col("source") == F.col("ls"), "left").withColumn("last", F.coalesce("last", F.lit(0)))
+    home = F.least(F.floor(at / tile), F.col("last"))
+    near = F.array_compact(F.array(home, F.when((at - home * tile < halo) & (home > 0), home - 1), F.when((at - home * tile >= tile - halo) & (home < F.col("last")), home + 1)))
     tiled = ranked.select("source", F.explode(near).alias("tile"), "time", "value", home.alias("home"))
     tiled = tiled.repartition("source", "tile").sortWithinPartitions("source", "tile", "time", "value")
     found = T.StructType([T.StructField("source", kinds[source]), T.StructField("time", T.LongType()), T.StructField("value", T.DoubleType())])
@@ -234,7 +273,7 @@ def implausible(
     def spikes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, 2):
             t, v = g.column(2).to_numpy(), g.column(3).to_numpy()
-            hit = excursions(t, v, width, alpha, margin, back, floor) & (g.column(4).to_numpy() == g.column(1).to_numpy())
+            hit = excursions(t, v, width, alpha, margin, back, floor, most, sample, growth, away) & (g.column(4).to_numpy() == g.column(1).to_numpy())
             if hit.any():
                 yield pa.RecordBatch.from_arrays([g.column(k).filter(pa.array(hit)) for k in (0, 2, 3)], found.names)
 
