@@ -200,7 +200,7 @@ def implausible(
             rid = int(rids[-1])
             yield out("row", src, t, v, gids, place, t, 1, rids)
             s = np.flatnonzero(np.concatenate([[True], starts[1:]]))
-            yield out("count", src.take(pa.array(s)), t[s], 0.0, 0, 0, t[s], np.diff(np.append(s, n)), np.add.reduceat(new.astype(np.int64), s))
+            yield out("count", src.take(pa.array(s)), t[s], 0.0, gids[s], 0, t[s], np.diff(np.append(s, n)), np.add.reduceat(new.astype(np.int64), s))
             # runs of this batch; the first may go on from the batch before, the last is held open
             r = np.flatnonzero(np.concatenate([[True], new[1:]]))
             e = np.append(r[1:], n) - 1
@@ -260,7 +260,7 @@ def implausible(
     readings = scanned.where("kind = 'row'").select("source", "time", "value", "pid", "gid", "place", "runs")
     stuck = readings.join(small(frozen), (F.col("pid") == F.col("fp")) & (F.col("runs") == F.col("fr")), "left_semi")
 
-    ranked, offset = with_offsets(readings, chain(edges(readings, ["source"], "pid", "gid", F.lit(1))), "pid", "gid")
+    ranked, offset = with_offsets(readings, chain(edges(scanned.where("kind = 'count'"), ["source"], "pid", "gid", F.col("n"))), "pid", "gid")
     large = small(cut(counts.where(F.col("readings") >= 2 * tile).select(F.col("source").alias("ls"), (F.floor(F.col("readings") / tile) - 1).alias("last"))))  # the last tile takes in what is left over
     at = F.col("place") + F.col(offset) - 1
     ranked = ranked.join(large, F.col("source") == F.col("ls"), "left").withColumn("last", F.coalesce("last", F.lit(0)))

@@ -8,6 +8,7 @@ on its own, and what is carried over a partition's edge is mended from one summa
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -108,23 +109,31 @@ def same(a: object, b: object) -> bool:
     return a == b or (a != a and b != b)
 
 
-def edges(df: DataFrame, group: list[str], pid: str, gid: str, amount: Column) -> list[Row]:
+class Edge(NamedTuple):
+    pid: int
+    first: Row
+    last: Row
+    first_amount: int
+    last_amount: int
+    groups: int
+
+
+def edges(df: DataFrame, group: list[str], pid: str, gid: str, amount: Column) -> list[Edge]:
     """One row per non-empty partition, at most as many as there are shuffle partitions: first and last group and their amounts.
 
-    amount: a Column whose sum over a group's rows in a partition is what is carried on (1 for counts).
+    amount: a Column whose sum over a group's rows in a partition is what is carried on (1 for counts). Only a partition's outer groups are summed, as no other one can go on beyond it; no
+    row per group is made or shuffled.
     """
-    first, last = F.struct(*[F.col(f"`{g}`") for g in group]), F.col(gid)
-    per = df.groupBy(pid, gid, *[F.col(f"`{g}`") for g in group]).agg(F.sum(amount).alias("__amount")) if group else df.groupBy(pid, gid).agg(F.sum(amount).alias("__amount"))
-    # only a partition's first and last group can go on beyond it
-    return sorted(
-        per.groupBy(F.col(pid).alias("pid"))
-        .agg(F.min_by(first, last).alias("first"), F.max_by(first, last).alias("last"), F.min_by("__amount", last).alias("first_amount"), F.max_by("__amount", last).alias("last_amount"), F.count(F.lit(1)).alias("groups"))
-        .collect(),
-        key=lambda r: r.pid,
-    )
-
-
-def chain(rows: list[Row]) -> dict[int, float]:
+    name = F.struct(*[F.col(f"`{g}`") for g in group])
+    outer = df.groupBy(F.col(pid).alias("pid")).agg(F.min_by(name, gid).alias("first"), F.max_by(name, gid).alias("last"), F.min(gid).alias("low"), F.max(gid).alias("top")).collect()
+    low, top, at = (fresh([*df.columns, "__amount"], x) for x in ("edge_low", "edge_top", "edge_pid"))
+    table = df.sparkSession.createDataFrame([(r.pid, r.low, r.top) for r in outer], T.StructType([T.StructField(at, T.IntegerType()), T.StructField(low, T.LongType()), T.StructField(top, T.LongType())]))
+    ends = df.join(F.broadcast(table), F.col(pid) == F.col(at)).where((F.col(gid) == F.col(low)) | (F.col(gid) == F.col(top)))
+    sums = {(r[0], r[1]): r[2] for r in ends.groupBy(pid, gid).agg(F.sum(amount)).collect()}
+    return [Edge(r.pid, r.first, r.last, sums[r.pid, r.low], sums[r.pid, r.top], r.top - r.low + 1) for r in sorted(outer, key=lambda r: r.pid)]
+
+
+def chain(rows: list[Edge]) -> dict[int, float]:
     """Prefix sums over partitions: for each partition what its first group amounts to in the partitions before."""
     out, last, carry = {}, None, 0
     for r in rows:
