@@ -224,8 +224,9 @@ def implausible(
     spark = df.sparkSession
     scanned = cut(range_scan(rows, [F.col("source").asc(), F.col("time").asc(), F.col("value").asc()], scan, schema, partitions))
 
+    notes = cut(scanned.where("kind <> 'row'"))  # few beside the readings, and read many times
     # runs at partition edges: at most two rows per partition come to the driver and are joined up there
-    outer = scanned.where("kind = 'run' and gid > 0").select("pid", "gid", "source", "value", "n", "runs").collect()
+    outer = notes.where("kind = 'run' and gid > 0").select("pid", "gid", "source", "value", "n", "runs").collect()
     joined, open_ = [], None
     for r in sorted(outer, key=lambda r: (r.pid, r.gid == 2)):
         piece = [r.source, r.value, r.n, [(r.pid, r.runs)]]
@@ -243,14 +244,14 @@ def implausible(
         joined.append(open_)
     parts_ = T.ArrayType(T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("run", T.LongType())]))
     stitched = spark.createDataFrame([(x[0], x[2], x[3]) for x in joined if x[2] >= least_run], T.StructType([T.StructField("source", kinds[source]), T.StructField("n", T.LongType()), T.StructField("parts", parts_)]))
-    runs = scanned.where(f"kind = 'run' and gid = 0 and n >= {least_run}").select("source", "n", F.array(F.struct("pid", F.col("runs").alias("run"))).alias("parts")).unionByName(stitched)
+    runs = notes.where(f"kind = 'run' and gid = 0 and n >= {least_run}").select("source", "n", F.array(F.struct("pid", F.col("runs").alias("run"))).alias("parts")).unionByName(stitched)
 
     def longest(readings: Column, begun: Column) -> Column:
         repeat = F.least(F.greatest(1 - begun / F.greatest(readings, F.lit(1)), F.lit(0.001)), F.lit(0.999))
         return F.greatest(F.lit(least_run), F.ceil(F.log(F.greatest(readings, F.lit(2)) / chance) / -F.log(repeat)))
 
     # how often a source repeats its value elsewhere: first without runs of least_run, then without the runs found frozen on that basis
-    counts = scanned.where("kind = 'count'").groupBy("source").agg(F.sum("n").alias("readings"), F.sum("runs").alias("begun"))
+    counts = notes.where("kind = 'count'").groupBy("source").agg(F.sum("n").alias("readings"), F.sum("runs").alias("begun"))
     taken = lambda d: d.groupBy("source").agg(F.sum("n").alias("off_n"), F.count(F.lit(1)).alias("off_runs"))
     rest = lambda d: d.withColumn("limit", longest(F.col("readings") - F.coalesce("off_n", F.lit(0)), F.greatest(F.col("begun") - F.coalesce("off_runs", F.lit(0)), F.lit(1))))
     first = rest(taken(runs).join(counts, "source")).select("source", "readings", "begun", F.col("limit").alias("first_limit"))
@@ -260,7 +261,7 @@ def implausible(
     readings = scanned.where("kind = 'row'").select("source", "time", "value", "pid", "gid", "place", "runs")
     stuck = readings.join(small(frozen), (F.col("pid") == F.col("fp")) & (F.col("runs") == F.col("fr")), "left_semi")
 
-    ranked, offset = with_offsets(readings, chain(edges(scanned.where("kind = 'count'"), ["source"], "pid", "gid", F.col("n"))), "pid", "gid")
+    ranked, offset = with_offsets(readings, chain(edges(notes.where("kind = 'count'"), ["source"], "pid", "gid", F.col("n"))), "pid", "gid")
     large = small(cut(counts.where(F.col("readings") >= 2 * tile).select(F.col("source").alias("ls"), (F.floor(F.col("readings") / tile) - 1).alias("last"))))  # the last tile takes in what is left over
     at = F.col("place") + F.col(offset) - 1
     ranked = ranked.join(large, F.col("source") == F.col("ls"), "left").withColumn("last", F.coalesce("last", F.lit(0)))
@@ -277,7 +278,7 @@ def implausible(
             if hit.any():
                 yield pa.RecordBatch.from_arrays([g.column(k).filter(pa.array(hit)) for k in (0, 2, 3)], found.names)
 
-    outside = scanned.where("kind = 'bad'").select("source", "time", "value").withColumn("reason", F.lit("range"))
+    outside = notes.where("kind = 'bad'").select("source", "time", "value").withColumn("reason", F.lit("range"))
     parts = [outside, stuck.select("source", "time", "value").withColumn("reason", F.lit("frozen")), tiled.mapInArrow(spikes, found).withColumn("reason", F.lit("spike"))]
     both = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return both.select(F.col("source").alias(source), F.col("time").cast(kinds[time]).alias(time), F.col("value").cast(kinds[value]).alias(value), "reason")
