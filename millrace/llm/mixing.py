@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators.ordered import chain, edges, numbered, with_offsets
-from millrace.session import cut
+from millrace.operators.ordered import chain, edges, groups, numbered, with_offsets
+from millrace.session import cut, small
 
 #: The tree of weights is laid out on the driver; more leaves than this are refused.
 MAX_LEAVES = 100_000
@@ -75,6 +76,27 @@ def weigh_below(node: Node, path: tuple, weigh: Callable[[tuple, int], float]) -
     return held
 
 
+#: How many times what is left of a source's budget the records hold among which it is filled up.
+FILL = 64
+
+
+def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places of the records (source, tokens, what is short, place ...) that fill up their source: whatever fits, and at last the smallest one that brings the sum nearer. A source's records are few times what it is short of."""
+    for g in groups(batches, 1):
+        n, left, taken = g.column(1).to_numpy(), g.column(2)[0].as_py(), []
+        over = -1
+        for k, x in enumerate(n.tolist()):
+            if x <= left:
+                left -= x
+                taken.append(k)
+            elif over < 0 or x < n[over]:
+                over = k
+        if over >= 0 and n[over] < 2 * left:
+            taken.append(over)
+        if taken:
+            yield pa.RecordBatch.from_arrays([g.column(k).take(pa.array(taken)) for k in (3, 4, 5)], ["fp", "fg", "ft"])
+
+
 def mix(
     records: DataFrame,
     targets: DataFrame,
@@ -103,7 +125,8 @@ def mix(
 
     Method: the weights of sources are propagated down a tree of domain, source and levels; shortages go to siblings before ancestors. A leaf takes as many whole
     epochs as its budget holds and a token-prefix of one more epoch, whose order is a seeded hash; the prefix is found by a global sort on (leaf, hash) with prefix sums over
-    partitions, so a leaf of any size is many tasks. The record that crosses a leaf's budget is taken where that brings its source nearer to its own.
+    partitions, so a leaf of any size is many tasks. What the prefixes of a source's leaves leave of its budget is filled up, in another seeded order, with records that still fit, and in the end with the
+    smallest one that brings the source nearer to its budget. So every source is off by less than half of its smallest record not used up (of those looked at: enough for ``FILL`` times what is to be filled).
 
     Defined results: records without tokens, with a null ident, or of a source without target are not used; a null leaf is a leaf. Idents are taken as given: a repeated ident is
     a record each time. Targets with a null source, share or repeats (or a repeated source) raise ValueError. Empty records give no uses and a report of zeros.
@@ -146,8 +169,8 @@ def mix(
     plan = []
     for g, (s, name, n) in enumerate(leaves):
         whole = min(int(n.budget // n.tokens), n.repeats)
-        plan.append((g, s, name, whole, n.budget - whole * n.tokens if whole < n.repeats else 0.0))
-    fields = [T.StructField("g", T.IntegerType()), T.StructField("ps", kinds[source]), T.StructField("pl", kinds[leaf]), T.StructField("whole", T.IntegerType()), T.StructField("rest", T.DoubleType())]
+        plan.append((g, s, name, whole, n.budget - whole * n.tokens if whole < n.repeats else 0.0, n.repeats))
+    fields = [T.StructField("g", T.IntegerType()), T.StructField("ps", kinds[source]), T.StructField("pl", kinds[leaf]), T.StructField("whole", T.IntegerType()), T.StructField("rest", T.DoubleType()), T.StructField("most", T.IntegerType())]
     budgets = F.broadcast(spark.createDataFrame(plan, T.StructType(fields)))
     order: Column = F.xxhash64(F.lit(seed), F.col("whole"), F.col("i"))
     planned = used.join(budgets, (F.col("s") == F.col("ps")) & F.col("l").eqNullSafe(F.col("pl"))).drop("ps", "pl")
@@ -155,27 +178,26 @@ def mix(
     rows, at = numbered(planned.withColumn("o", order).withColumn("spread", spread), ["g"], [F.col("o"), F.col("i"), F.col("spread")], amount="n")
     summed, offset = with_offsets(rows, chain(edges(rows, ["g"], at["pid"], at["gid"], F.col("n"))), at["pid"], at["gid"])
     summed = summed.withColumn("upto", F.col(at["place"]) + F.col(offset))
-    # the one record of a leaf that crosses its budget, one row per leaf at most: taken where that brings the source nearer to its own budget
-    crossing = summed.where("upto > rest and upto - n < rest").select("s", "l", "n", (F.col("rest") - (F.col("upto") - F.col("n"))).alias("short")).collect()
-    add = []
-    for name in tree:
-        own = sorted((r for r in crossing if r.s == name), key=lambda r: (-r.n, r.l is None, str(r.l)))
-        short = sum(r.short for r in own)
-        for r in own:
-            if r.n <= 2 * short:
-                add.append((r.s, r.l, True))
-                short -= r.n
-    adds = F.broadcast(spark.createDataFrame(add, T.StructType([T.StructField("as", kinds[source]), T.StructField("al", kinds[leaf]), T.StructField("added", T.BooleanType())])))
-    summed = summed.join(adds, (F.col("s") == F.col("as")) & F.col("l").eqNullSafe(F.col("al")), "left")
-    extra = (F.col("upto") <= F.col("rest")) | (F.col("added").isNotNull() & (F.col("upto") - F.col("n") < F.col("rest")))
-    chosen = summed.withColumn("times", F.col("whole") + extra.cast("int")).where("times > 0")
+    base = summed.withColumn("times", F.col("whole") + (F.col("upto") <= F.col("rest")).cast("int"))
+    # what prefixes leave of a source's budget is filled up in another seeded order
+    got = {r.s: (r.n, r.spare) for r in base.groupBy("s").agg(F.sum(F.col("n") * F.col("times")).alias("n"), F.sum(F.when(F.col("times") < F.col("most"), F.col("n")).otherwise(0)).alias("spare")).collect()}
+    short = [(s, tree[s].budget - n, min(1.0, FILL * (tree[s].budget - n) / spare)) for s, (n, spare) in got.items() if spare and tree[s].budget - n >= 0.5]
+    shortages = F.broadcast(spark.createDataFrame(short, T.StructType([T.StructField("fs", kinds[source]), T.StructField("short", T.DoubleType()), T.StructField("part", T.DoubleType())])))
+    again = F.xxhash64(F.lit(seed + 1), F.col("i"))
+    spare = base.where("times < most").join(shortages, F.col("s") == F.col("fs")).where(F.col("n") < 2 * F.col("short")).where(again / F.lit(2.0**64) + 0.5 <= F.col("part"))
+    spare = spare.select("s", "n", "short", again.alias("a"), "i", *at.values()).repartition("s").sortWithinPartitions("s", "a", "i", *at.values()).drop("a", "i")
+    place = T.StructType([T.StructField("fp", T.IntegerType()), T.StructField("fg", T.LongType()), T.StructField("ft", T.LongType())])
+    filled = small(cut(spare.mapInArrow(_fill, place)))
+    base = base.join(filled, (F.col(at["pid"]) == F.col("fp")) & (F.col(at["gid"]) == F.col("fg")) & (F.col(at["place"]) == F.col("ft")), "left")
+    chosen = base.withColumn("times", F.col("times") + F.col("fp").isNotNull().cast("int")).where("times > 0")
     uses = cut(chosen.select(F.col("i").alias(ident), F.col("s").alias(source), F.col("l").alias(leaf), F.col("n").alias(tokens), "times"))
     taken = {r[0]: (r[1], r[2]) for r in uses.groupBy(F.col(source)).agg(F.sum(F.col(tokens) * F.col("times")), F.max("times")).collect()}
     mixed = sum(v[0] for v in taken.values())
-    report = [
-        (s, w, r, sum(x.records for x in sizes if x.s == s), sum(x.n for x in sizes if x.s == s), tree[s].budget, taken.get(s, (0, 0))[0], taken.get(s, (0, 0))[0] / mixed if mixed else 0.0, taken.get(s, (0, 0))[1])
-        for s, w, r in wanted
-    ]
+    held: dict = {}
+    for x in sizes:
+        records_, tokens_ = held.get(x.s, (0, 0))
+        held[x.s] = (records_ + x.records, tokens_ + x.n)
+    report = [(s, w, r, *held.get(s, (0, 0)), tree[s].budget, taken.get(s, (0, 0))[0], taken.get(s, (0, 0))[0] / mixed if mixed else 0.0, taken.get(s, (0, 0))[1]) for s, w, r in wanted]
     names = [source, "target_share", "max_repeats", "n_records", "available_tokens", "budget_tokens", "mixed_tokens", "actual_share", "most_times"]
     types = [kinds[source], T.DoubleType(), T.IntegerType(), T.LongType(), T.LongType(), T.DoubleType(), T.LongType(), T.DoubleType(), T.IntegerType()]
     return uses, spark.createDataFrame(report, T.StructType([T.StructField(n, t) for n, t in zip(names, types, strict=True)]))
