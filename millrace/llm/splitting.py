@@ -20,54 +20,37 @@ CELL_MARK = re.compile(r"^(?:# ?%%|In ?\[[ \d]*\]:|Out ?\[[ \d]*\]:|<cell\b|<\w+
 PARAGRAPH = re.compile(r"\n[ \t\r]*(?=\n)")
 #: A line of the text, or of a source string inside JSON.
 LINE = re.compile(r"\n|(?<=\\n\",)|(?<=\\n)(?=\")")
-SPACE = re.compile(r"(?<=\S)(?=\s)")
 
 
-def _before(text: str, at: np.ndarray) -> np.ndarray:
-    """For each place the end of the last non-blank before it: a cut there leaves tokens as they are, and the white space leads the next piece."""
-    return np.array([len(text[max(0, a - 400) : a].rstrip()) + max(0, a - 400) for a in at.tolist()], np.int64) if len(at) else at
+def _white(text: str) -> np.ndarray:
+    """Which characters are white space."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    seen = np.flatnonzero(np.bincount(codes, minlength=1))
+    return np.isin(codes, [c for c in seen.tolist() if chr(c).isspace()])
 
 
-def boundaries(text: str, starts: list[int] | None, token_ends: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in characters) where the text may be cut, ascending, and their kinds. token_ends: places where a token and a character end.
+def boundaries(text: str, starts: list[int] | None, token_ends: np.ndarray, white: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places (in characters) where the text may be cut, ascending, and their kinds. token_ends: places where a token and a character end.
 
-    Blanks and token ends come in only where stronger boundaries are more than ``gap`` tokens apart.
+    A place after white space is moved to the end of the last non-blank before it, however far that is: a cut there leaves tokens as they are, and the white space leads the next piece.
     """
     n = len(text)
     cells = np.array(sorted({s for s in starts if s is not None and 0 < s < n}) if starts else [m.start() for m in CELL_MARK.finditer(text) if m.start()], np.int64)
     paragraphs = np.array([m.start() for m in PARAGRAPH.finditer(text)], np.int64)
     lines = np.array([m.start() for m in LINE.finditer(text)], np.int64)
+    solid = np.concatenate([[0], np.maximum.accumulate(np.where(white, 0, np.arange(1, n + 1)))])  # for each place the end of the last non-blank before it
     level = np.zeros(n + 1, np.int8)
+    level[token_ends] = 1
+    level[np.flatnonzero(white[1:] & ~white[:-1]) + 1] = 2
     for places, kind in ((lines, 3), (paragraphs, 4), (cells, 5)):
-        at = _before(text, places)
+        at = solid[places]
         at = at[at > 0]
         level[at] = np.maximum(level[at], kind)
     level[0], level[n] = 0, 6
-
-    def fill(kind: int, places: np.ndarray) -> None:
-        strong = np.flatnonzero(level)
-        count = np.searchsorted(token_ends, np.concatenate([[0], strong]), side="right")
-        wide = np.flatnonzero(np.diff(count) > gap)
-        edge = np.concatenate([[0], strong])
-        for k in wide.tolist():
-            inside = places[np.searchsorted(places, edge[k], side="right") : np.searchsorted(places, edge[k + 1])]
-            level[inside] = np.maximum(level[inside], kind)
-
-    strong = np.flatnonzero(level)
-    if np.diff(np.searchsorted(token_ends, np.concatenate([[0], strong]), side="right")).max(initial=0) > gap:
-        fill(2, np.array([m.start() for m in SPACE.finditer(text)], np.int64))
-        fill(1, token_ends)
     at = np.flatnonzero(level)
     return at, level[at].astype(int) - 1
 
 
-def _white(text: str) -> np.ndarray:
-    """Which characters are white space."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    seen = np.flatnonzero(np.bincount(codes, minlength=1))
-    return np.isin(codes, [c for c in seen.tolist() if chr(c).isspace()])
-
-
 def cuts_by_doubling(successor: np.ndarray) -> np.ndarray:
     """The nodes on the way from node 0 to the last node, given each node's successor: the table is squared until it leads from 0 to the end."""
     path, jump, end = np.array([0]), successor, len(successor) - 1
@@ -98,15 +81,15 @@ def split(text: str, starts: list[int] | None, limit: int, overlap: int, path: s
     place_of = np.concatenate([[0], place])  # characters that begin before the end of the k-th token
     whole = np.concatenate([[True], whole])
     back = np.maximum.accumulate(np.where(whole, np.arange(len(whole)), 0))  # the last token end that is a character's end
-    at, kind = boundaries(text, starts, place[whole[1:]], max(1, limit // 8))
+    white = _white(text)
+    at, kind = boundaries(text, starts, place[whole[1:]], white)
     at = np.concatenate([[0], at[at > 0]])
     kind = np.concatenate([[0], kind[-(len(at) - 1) :]])
     full = place_of[back]
-    lo = np.searchsorted(full, at, side="right") - 1  # tokens that end at or before the place
+    lo = back[np.searchsorted(full, at, side="right") - 1]  # tokens that end at or before the place, without those that end inside the next character
     hi = np.searchsorted(place_of, at, side="left")  # tokens needed to get there
     begin = back[np.maximum(lo - overlap, 0)]  # token at which a piece begins that follows a cut here
     begin[0] = 0
-    white = _white(text)
     edge = (at == 0) | (at == len(text))
     safe = edge | (~white[np.maximum(at - 1, 0)] & white[np.minimum(at, len(text) - 1)])
     safe_at, safe_lo = at[safe], lo[safe]
@@ -119,7 +102,20 @@ def split(text: str, starts: list[int] | None, limit: int, overlap: int, path: s
             pieces.append((s, e, _tokens(text, s, e, safe_at, safe_lo, path), KINDS[kind[b]]))
         if all(p[2] <= limit for p in pieces):
             return pieces
-    raise AssertionError("a piece is beyond the limit")
+    return _by_trial(text, limit, overlap, path)
+
+
+def _by_trial(text: str, limit: int, overlap: int, path: str) -> list[tuple[int, int, int, str]]:
+    """Pieces of a text whose tokens change so much where it is cut that no slack was enough: one after the other, each shortened until it is within the limit on its own."""
+    pieces, s, n = [], 0, len(text)
+    while True:
+        e = min(n, s + limit)  # a character is a token at least, or part of one
+        while (k := tok.count(text[s:e], path)) > limit:
+            e = s + max(1, (e - s) * limit // (k + 1))
+        pieces.append((s, e, k, "end" if e == n else "token"))
+        if e == n:
+            return pieces
+        s = max(s + 1, e - overlap)
 
 
 def _successors(lo: np.ndarray, hi: np.ndarray, kind: np.ndarray, begin: np.ndarray, most: int, least: int) -> np.ndarray:

@@ -88,3 +88,26 @@ def test_lines_before_a_huge_line_end_a_piece(blob):
 def test_pieces_between_boundaries_are_as_long_as_can_be():
     for p in check("x" + "ab1" * 30000, None, 300, 20)[:-1]:
         assert p[2] >= 300 - 8 - 6
+
+
+def test_long_blanks_before_a_boundary_are_not_cut():
+    t = "".join(f"line {k} of the text" + " " * (600 if k % 5 == 0 else 1) + "\n" for k in range(400))
+    for p in check(t, None, 1000, 20)[:-1]:
+        assert p[3] == "line" and not t[p[1] - 1].isspace()
+
+
+def test_every_boundary_is_in_the_table():
+    from millrace.llm.splitting import _white, boundaries
+
+    t = "ab cd  ef\n\ngh ij"
+    at, kind = boundaries(t, None, np.array([2, 5, 9, 10, 13, 16]), _white(t))
+    assert at.tolist() == [2, 5, 9, 10, 13, 16] and kind.tolist() == [1, 1, 3, 0, 1, 5]
+
+
+def test_trial_pieces_are_within_the_limit():
+    from millrace.llm.splitting import _by_trial
+
+    for t in ("a" * 3000, text(3), "😀" * 900, "日本語" * 900, " " * 2000):
+        pieces = _by_trial(t, 100, 8, tok.RANKS)
+        assert pieces[0][0] == 0 and pieces[-1][1] == len(t) and all(tok.count(t[p[0] : p[1]]) == p[2] <= 100 for p in pieces)
+        assert all(q[0] <= p[1] and q[1] > p[1] for p, q in zip(pieces, pieces[1:]))
