@@ -556,7 +556,7 @@ class Grouped:
         rows = self._identified(partial=True)
         whole = T.StructType([rows.schema[self.bag.key], rows.schema[self.bag.value]])
         parts = reduced(rows, r.op)
-        placed = self._placed(parts, [])
+        placed = self._sorted(self._spread(parts), [])
         return self.bag._with(each_group(placed, ["__h", "__k"], self.bag.key, self.bag.value, folded(r.op)(), whole, None, None))
 
     def _identified(self, partial: bool = False) -> DataFrame:
@@ -566,12 +566,14 @@ class Grouped:
         ids = [F.xxhash64(canonical).alias("__h"), F.to_json(F.struct(canonical.alias("k")), {"ignoreNullFields": "false"}).alias("__k")]
         return self.bag.df.select(*ids, key, value, *([] if partial else [o.alias(f"__o{k}") for k, o in enumerate(self.grouping.order)]))
 
-    def _placed(self, rows: DataFrame, within: list[str]) -> DataFrame:
-        """Every group in one partition, groups in the grouping's own order if it has one, values in theirs."""
-        g, key = self.grouping, self.bag.key
-        n = shuffle_partitions(rows.sparkSession)
-        spread = rows.repartition("__h") if g.partition is None else rows.repartitionById(n, F.pmod(g.partition(F.col(key), n), F.lit(n)).cast("int"))
-        return spread.sortWithinPartitions(*g.sort(F.col(key)), "__h", "__k", *within)
+    def _spread(self, rows: DataFrame) -> DataFrame:
+        """Every group in one partition."""
+        g, n = self.grouping, shuffle_partitions(rows.sparkSession)
+        return rows.repartition("__h") if g.partition is None else rows.repartitionById(n, F.pmod(g.partition(F.col(self.bag.key), n), F.lit(n)).cast("int"))
+
+    def _sorted(self, rows: DataFrame, within: list[str]) -> DataFrame:
+        """Groups in the grouping's own order if it has one, values in theirs."""
+        return rows.sortWithinPartitions(*self.grouping.sort(F.col(self.bag.key)), "__h", "__k", *within)
 
     def parallel_do(self, fn: GroupFn, schema: T.StructType | str, env: Scalar | None = None, counters: Counters | None = None) -> Bag:
         """The general function of a group: none, one or many rows out for each key, whose values it gets one after the other in the grouping's order, so that no group is held in memory.
@@ -580,11 +582,11 @@ class Grouped:
         """
         rows = self._identified()
         order = [c for c in rows.columns if c.startswith("__o")]
-        rows = self._placed(rows, order).drop(*order)
-        name = None
-        if env is not None:
-            name = fresh(rows.columns, "env")
-            rows = env.beside(rows, name).withColumn(name, F.when(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0, F.col(name)))
+        name = fresh(rows.columns, "env") if env is not None else None
+        spread = self._spread(rows)
+        rows = self._sorted(env.beside(spread, name) if env is not None else spread, order).drop(*order)  # a sort below a join would be dropped
+        if name:
+            rows = rows.withColumn(name, F.when(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0, F.col(name)))
         return self.bag._with(each_group(rows, ["__h", "__k"], self.bag.key, self.bag.value, fn, schema, counters, name))
 
     def combine_do(self, f: Callable[[Column], Column]) -> Bag:

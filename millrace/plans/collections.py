@@ -25,16 +25,22 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Registers a function of (spark, folder) under its name, with the SQL that says the same."""
+def registry(queries: dict, sqls: dict[str, str]):
+    """A decorator that registers functions of (spark, folder) under their names, with the SQL that says the same."""
 
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
+    def query(sql: str | None = None):
+        def keep(f):
+            queries[f.__name__] = f
+            if sql is not None:
+                sqls[f.__name__] = sql
+            return f
 
-    return keep
+        return keep
+
+    return query
+
+
+query = registry(QUERIES, SQL)
 
 
 def bag(spark: SparkSession, folder: str, name: str, *cols: str, key: str = "key", value: str = "value") -> Bag:
