@@ -18,8 +18,9 @@ from millrace.operators.grouping import ALL, Grouping
 from millrace.operators.matrix import Matrix, Vector
 from millrace.plans.pipeline import table
 from millrace.plans.programs import page_rank, shortest_paths, similarity
-from millrace.session import ensure_checkpoint_dir
+from millrace.session import cut, ensure_checkpoint_dir
 from millrace.sources import persisting, records, sequence, text
+from millrace.sources.files import Files
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -53,6 +54,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4()}"
 
 
+def kept_from(df: DataFrame, folder: str) -> DataFrame:
+    """What is read from a scratch folder, checkpointed, and the folder gone."""
+    out = cut(df)
+    Files(df.sparkSession, folder).delete()
+    return out
+
+
 def keyed(spark: SparkSession, folder: str, name: str, key: str, value: str) -> Bag:
     return Bag(table(spark, folder, name).select(F.col(key).alias("key"), F.col(value).alias("value")))
 
@@ -551,14 +559,14 @@ def delimited_extract(spark, folder):
     folder_out = scratch(spark)
     lines = bag(spark, folder, "events", "event_id", "props").map("event_id", F.regexp_extract("props", "([0-9]+)", 1).alias("k"))
     persisting.persist(text.to_delimited(lines, folder_out, ";"))
-    return text.from_delimited(spark, {"event_id": (0, a_long), "k": (1, a_long)}, folder_out, separator=";").df
+    return kept_from(text.from_delimited(spark, {"event_id": (0, a_long), "k": (1, a_long)}, folder_out, separator=";").df, folder_out)
 
 
 @query("select c_name as value from customer")
 def text_roundtrip(spark, folder):
     out = scratch(spark)
     persisting.persist(text.compressed(text.to_text(bag(spark, folder, "customer", "c_name"), out)))
-    return text.from_text(spark, out).df
+    return kept_from(text.from_text(spark, out).df, out)
 
 
 @query("select n_regionkey as region, n_name as value from nation")
@@ -566,14 +574,14 @@ def partitioned_roundtrip(spark, folder):
     out = scratch(spark)
     rows = bag(spark, folder, "nation", "n_name", "n_regionkey").map("n_name", F.col("n_regionkey").alias("region"))
     persisting.persist(text.to_partitioned_text(rows, out, ["region"]))
-    return spark.read.text(out).select(F.col("region").cast("int"), "value")
+    return kept_from(spark.read.text(out).select(F.col("region").cast("int"), "value"), out)
 
 
 @query('select s_suppkey as "key", s_name as value from supplier')
 def sequence_roundtrip(spark, folder):
     out = scratch(spark)
     persisting.persist(sequence.to_sequence(keyed(spark, folder, "supplier", "s_suppkey", "s_name"), out))
-    return sequence.from_sequence(spark, T.LongType(), T.StringType(), out).df
+    return kept_from(sequence.from_sequence(spark, T.LongType(), T.StringType(), out).df, out)
 
 
 @query("select o_orderpriority, count(*) as n from orders group by 1")
@@ -581,14 +589,14 @@ def checkpoint_reuse(spark, folder):
     out = scratch(spark)
     make = lambda: bag(spark, folder, "orders").df.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
     persisting.checkpointed(spark, out, make)
-    return persisting.checkpointed(spark, out, lambda: 1 / 0).df
+    return kept_from(persisting.checkpointed(spark, out, lambda: 1 / 0).df, out)
 
 
 @query("select count(*) as n from lineitem")
 def text_with_path(spark, folder):
     out = scratch(spark)
     persisting.persist(text.to_text(bag(spark, folder, "lineitem", "l_orderkey"), out))
-    return text.from_text_with_path(spark, out).filter(F.col("key").contains("scratch-")).length().map(F.col("value").alias("n")).df
+    return kept_from(text.from_text_with_path(spark, out).filter(F.col("key").contains("scratch-")).length().map(F.col("value").alias("n")).df, out)
 
 
 @query("select n_name, string_split(n_name, 'A')[1] as head from nation")

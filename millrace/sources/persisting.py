@@ -50,7 +50,7 @@ def common_ancestors(frames: list[DataFrame]) -> list[DataFrame]:
 @contextmanager
 def computed_once(*frames: DataFrame) -> Iterator[None]:
     """While it lasts, what several of the frames come from is computed once and kept (in memory, then on disk; what an executor takes with it is computed again)."""
-    held = [d.persist() for d in common_ancestors(list(frames))] if len(frames) > 1 else []
+    held = [d.persist() for d in reversed(common_ancestors(list(frames)))] if len(frames) > 1 else []  # the innermost first, so that others are made from it
     try:
         yield
     finally:

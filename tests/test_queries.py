@@ -1,10 +1,10 @@
 import pytest
 from oracle import agrees
 
-from millrace.plans import algebra, collections, pipeline
+from millrace.plans import algebra, collections, inputs_outputs, pipeline
 
-QUERIES = {**collections.QUERIES, **algebra.QUERIES, **pipeline.QUERIES}
-SQL = {**collections.SQL, **algebra.SQL, **pipeline.SQL}
+QUERIES = {**collections.QUERIES, **algebra.QUERIES, **inputs_outputs.QUERIES, **pipeline.QUERIES}
+SQL = {**collections.SQL, **algebra.SQL, **inputs_outputs.SQL, **pipeline.SQL}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
