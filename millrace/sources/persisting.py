@@ -29,28 +29,29 @@ _COSTLY = {"Aggregate", "Join", "Sort", "RepartitionByExpression", "Repartition"
 
 
 def common_ancestors(frames: list[DataFrame]) -> list[DataFrame]:
-    """The largest parts that the plans of several frames have in common, of those that hold an operation worth keeping; as frames."""
+    """The largest parts that the plans of several frames have in common, of those that hold an operation worth keeping; as frames, the innermost first."""
     seen: dict[int, list] = {}
     for n, df in enumerate(frames):
         for node in _plans(df._jdf.queryExecution().analyzed(), []):
             entry = seen.setdefault(node.canonicalized().hashCode(), [node, set()])
             entry[1].add(n)
-    out, covered = [], set()
+    out: list[tuple[int, DataFrame]] = []
+    covered: set = set()
     for code, (node, users) in seen.items():  # roots come before what is below them
         below = _plans(node, [])
         codes = {x.canonicalized().hashCode() for x in below[1:]}
         if len(users) > 1 and (code, frozenset(users)) not in covered:
             if any(x.nodeName() in _COSTLY for x in below):
                 spark = frames[0].sparkSession
-                out.append(DataFrame(spark.sparkContext._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, node), spark))
+                out.append((len(below), DataFrame(spark.sparkContext._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, node), spark)))
             covered |= {(c, frozenset(users)) for c in codes}
-    return out
+    return [df for _, df in sorted(out, key=lambda x: x[0])]
 
 
 @contextmanager
 def computed_once(*frames: DataFrame) -> Iterator[None]:
     """While it lasts, what several of the frames come from is computed once and kept (in memory, then on disk; what an executor takes with it is computed again)."""
-    held = [d.persist() for d in reversed(common_ancestors(list(frames)))] if len(frames) > 1 else []  # the innermost first, so that others are made from it
+    held = [d.persist() for d in common_ancestors(list(frames))] if len(frames) > 1 else []  # the innermost first, so that others are made from it
     try:
         yield
     finally:
