@@ -250,8 +250,11 @@ def implausible(
         repeat = F.least(F.greatest(1 - begun / F.greatest(readings, F.lit(1)), F.lit(0.001)), F.lit(0.999))
         return F.greatest(F.lit(least_run), F.ceil(F.log(F.greatest(readings, F.lit(2)) / chance) / -F.log(repeat)))
 
+    # a run that goes on over a partition's edge began once, but was counted as beginning in each partition
+    over = [(x[0], 0, 1 - len(x[3])) for x in joined if len(x[3]) > 1]
+    repeated = spark.createDataFrame(over, T.StructType([T.StructField("source", kinds[source]), T.StructField("n", T.LongType()), T.StructField("runs", T.LongType())]))
     # how often a source repeats its value elsewhere: first without runs of least_run, then without the runs found frozen on that basis
-    counts = notes.where("kind = 'count'").groupBy("source").agg(F.sum("n").alias("readings"), F.sum("runs").alias("begun"))
+    counts = notes.where("kind = 'count'").select("source", "n", "runs").unionByName(repeated).groupBy("source").agg(F.sum("n").alias("readings"), F.sum("runs").alias("begun"))
     taken = lambda d: d.groupBy("source").agg(F.sum("n").alias("off_n"), F.count(F.lit(1)).alias("off_runs"))
     rest = lambda d: d.withColumn("limit", longest(F.col("readings") - F.coalesce("off_n", F.lit(0)), F.greatest(F.col("begun") - F.coalesce("off_runs", F.lit(0)), F.lit(1))))
     first = rest(taken(runs).join(counts, "source")).select("source", "readings", "begun", F.col("limit").alias("first_limit"))

@@ -55,6 +55,16 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_reasons(spark, folder).select("station", "time").distinct()
 
 
+def p3_range(spark: SparkSession, folder: str) -> DataFrame:
+    """Readings that cannot be an air temperature."""
+    return p3_reasons(spark, folder).where("reason = 'range'").drop("reason")
+
+
+def p3_frozen(spark: SparkSession, folder: str) -> DataFrame:
+    """Readings of frozen runs."""
+    return p3_reasons(spark, folder).where("reason = 'frozen'").drop("reason")
+
+
 # --- problem 5
 
 
@@ -92,7 +102,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return hourly(spark, folder).where("n_readings = 0").select("station", "slot")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_headcounts, p2_join, p3_found, p3_reasons, p5_found, p5_rolling, p6_found, p6_grid)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_headcounts, p2_join, p3_found, p3_reasons, p3_range, p3_frozen, p5_found, p5_rolling, p6_found, p6_grid)}
 
 _PRICED = """priced as (
     select symbol, d as day, count(*) as n, sum(price) as total from (
@@ -113,6 +123,18 @@ SQL = {
     "p2_headcounts": """select e.dept_id, d.name, e.heads, e.n_rows from
         (select dept_id, count(distinct emp_id) as heads, count(*) as n_rows from employees group by dept_id) e left join departments d on e.dept_id = d.id""",
     "p2_join": "select e.emp_id, e.dept_id, d.name as dept_name from employees e left join departments d on e.dept_id = d.id",
+    "p3_range": f"select distinct station, time, temp from weather where station is not null and time is not null and temp not between {AIR[0]} and {AIR[1]}",
+    "p3_frozen": f"""with r as (select distinct station, time, temp from weather where station is not null and time is not null and temp between {AIR[0]} and {AIR[1]}),
+        o as (select *, row_number() over (partition by station order by time, temp) - row_number() over (partition by station, temp order by time) as island from r),
+        runs as (select station, temp, island, count(*) as n from o group by 1, 2, 3), counts as (select station, sum(n) as readings, count(*) as begun from runs group by 1), long as (select * from runs where n >= 8),
+        off1 as (select station, sum(n) as off_n, count(*) as off_runs from long group by 1),
+        rest1 as (select c.station, readings, begun, readings - off_n as r, greatest(begun - off_runs, 1) as b from counts c join off1 using (station)),
+        first as (select *, greatest(8, ceil(ln(greatest(r, 2) / 0.001) / -ln(least(greatest(1 - b / greatest(r, 1), 0.001), 0.999)))) as bound from rest1),
+        off2 as (select station, sum(n) as off_n, count(*) as off_runs from long join first using (station) where n >= bound group by 1),
+        rest2 as (select f.station, readings - coalesce(off_n, 0) as r, greatest(begun - coalesce(off_runs, 0), 1) as b from first f left join off2 using (station)),
+        bounds as (select station, greatest(8, ceil(ln(greatest(r, 2) / 0.001) / -ln(least(greatest(1 - b / greatest(r, 1), 0.001), 0.999)))) as bound from rest2),
+        frozen as (select station, temp, island from long join bounds using (station) where n >= bound)
+        select station, time, temp from o join frozen using (station, temp, island)""",
     "p5_found": f"with {_PRICED} select symbol, {_NUMBER} as date from full_days where n = 0",
     "p5_rolling": f"""with {_PRICED}, w as (
         select symbol, day, n, sum(n) over a as n_7, round(sum(total) over a, 4) as s_7, sum(n) over b as n_30, round(sum(total) over b, 4) as s_30 from full_days
