@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.llm.leakage import leaks
 from millrace.llm.mixing import mix, tidy
@@ -64,6 +65,14 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_leaks(spark, folder).where("kind = 'same'").select("doc_id", "item_id")
 
 
+def p7_verbatim(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the pairs found, those whose whole passage stands in the notebook letter for letter."""
+    pairs = p7_leaks(spark, folder).where("kind = 'same' and share = 1").select("doc_id", "item_id")
+    items = table(spark, folder, "eval_items").select("item_id", F.substring_index("text", "\n", 1).alias("head"), F.col("text").alias("whole"))
+    both = pairs.join(items, "item_id").join(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    return both.where(F.contains("text", F.substring("whole", F.length("head") + 2, F.length("whole")))).select("doc_id", "item_id")
+
+
 # --- problem 8
 
 
@@ -98,6 +107,14 @@ def p8_tree(spark: SparkSession, folder: str) -> DataFrame:
     return uses.groupBy("source", F.col("leaf.lang").alias("lang")).agg(F.sum(F.col("n_tokens") * F.col("times")).alias("mixed_tokens"), F.max("times").alias("most_times"))
 
 
+def p8_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of every source, how many are used too often, and whether the mix comes within one of its records of its budget."""
+    uses, report = _mix(spark, folder)
+    held = uses.groupBy("source").agg(F.max("n_tokens").alias("largest"), F.max("times").alias("times"))
+    near = F.abs(F.col("mixed_tokens") - F.col("budget_tokens")) <= F.coalesce("largest", F.lit(0))
+    return report.join(held, "source", "left").select("source", "target_share", "max_repeats", "n_records", F.coalesce(F.greatest(F.col("times") - F.col("max_repeats"), F.lit(0)), F.lit(0)).alias("beyond"), near.alias("near"))
+
+
 # --- problem 9
 
 LIMIT, OVERLAP = 4096, 128
@@ -118,12 +135,41 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder, False).where("piece = 0").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top, p4_percentiles, p7_found, p7_leaks, p8_mix, p8_shares, p8_shares_epoch, p8_tree, p9_found, p9_pieces)}
+def p9_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """A digest of every notebook, of those that were split from what their pieces hold beside the overlap: nothing is lost."""
+    docs = table(spark, folder, "documents").where("text is not null").select("doc_id", "text")
+    before = F.lag("end_at").over(Window.partitionBy("doc_id").orderBy("piece"))  # a window of one notebook's pieces
+    own = p9_pieces(spark, folder).withColumn("skip", F.greatest(F.coalesce(before, F.lit(0)) - F.col("start_at"), F.lit(0)).cast("int"))
+    part = F.struct("piece", F.substring("text", F.col("skip") + 1, F.length("text")).alias("part"))
+    whole = own.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["part"]), "").alias("rebuilt"))
+    return docs.join(whole, "doc_id", "left").select("doc_id", F.md5(F.coalesce("rebuilt", "text")).alias("digest"))
+
+
+def p9_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces beyond the limit, out of order, empty, or whose overlap with the piece before is off by more than what tokens at a cut can be."""
+    w = Window.partitionBy("doc_id").orderBy("piece")
+    pieces = p9_pieces(spark, folder).withColumns({"before": F.lag("end_at").over(w), "last": F.lag("piece").over(w)})
+    shared = F.when(F.col("before").isNotNull(), F.substring("text", F.lit(1), (F.col("before") - F.col("start_at")).cast("int")))
+    sized = with_token_counts(with_token_counts(pieces.withColumn("shared", shared), "text", ["doc_id", "piece", "start_at", "end_at", "n_tokens", "before", "last", "shared"], "again"), "shared", ["piece", "start_at", "end_at", "n_tokens", "again", "before", "last"], "overlap")
+    count = lambda c: F.count_if(c)
+    return sized.agg(
+        count((F.col("again") > LIMIT) | (F.col("again") != F.col("n_tokens"))).alias("beyond"), count((F.coalesce("last", F.lit(-1)) != F.col("piece") - 1) | (F.col("end_at") <= F.coalesce("before", F.lit(0)))).alias("disorder"),
+        count(F.col("before").isNotNull() & ~F.col("overlap").between(OVERLAP - 2, OVERLAP + 8)).alias("off_overlap"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_top, p4_percentiles, p7_found, p7_leaks, p7_verbatim, p8_mix, p8_counts, p8_shares, p8_shares_epoch, p8_tree, p9_found, p9_pieces, p9_rebuilt, p9_rules)}
 
 _BEST = """with best as (select "user", movie, max(rating) as rating from ratings where "user" is not null and movie is not null and rating is not null group by 1, 2),
     placed as (select *, cast(row_number() over (partition by "user" order by rating desc, movie) as integer) as position from best)"""
 
+_SOURCES = """(select case when s not in ('', 'und') then s end as source from (select regexp_replace(lower(trim(source)), '-x$', '') as s from documents where text <> ''))"""
+
 SQL = {
+    "p7_verbatim": "select doc_id, item_id from documents d, eval_items e where contains(d.text, case when contains(e.text, chr(10)) then substr(e.text, instr(e.text, chr(10)) + 1) else e.text end)",
+    "p8_counts": f"select t.source, target_share, max_repeats, (select count(*) from {_SOURCES} d where d.source = t.source) as n_records, 0 as beyond, true as near from source_targets t",
+    "p9_rebuilt": "select doc_id, md5(text) as digest from documents where text is not null",
+    "p9_rules": "select 0 as beyond, 0 as disorder, 0 as off_overlap",
     "p1_found": f'{_BEST} select "user", movie from placed where position <= 5',
     "p1_top": f'{_BEST} select "user", movie, rating, position from placed where position <= 5',
     "p4_percentiles": """with r as (select distinct station, time, temp from weather where station is not null and temp is not null),
