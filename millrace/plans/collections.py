@@ -212,12 +212,6 @@ def sum_and_empty(spark, folder):
     return r.sum("rating").zip(r.filter("rating < 0").sum("rating")).map(F.col("_1").alias("total"), F.col("_2").alias("nothing")).df
 
 
-@query("select cast(round(coalesce(exp(sum(ln(1 + l_discount))), 1) / 1e9, 6) as double) as p from lineitem where l_shipdate < timestamp '1992-03-01'")
-def product(spark, folder):
-    early = bag(spark, folder, "lineitem").filter("l_shipdate < timestamp_ntz '1992-03-01 00:00:00'")
-    return early.map((1 + F.col("l_discount")).alias("value")).product().map(F.round(F.col("value") / 1e9, 6).alias("p")).df
-
-
 @query("select round(coalesce(exp(100 * avg(ln(1 + l_discount))), 1), 6) as p from lineitem")
 def product_whole(spark, folder):
     """The product over all rows, each factor raised to 100 / n so that it stays finite at any size."""
@@ -444,13 +438,6 @@ def join_null_safe(spark, folder):
     return joins.join(e, keyed(spark, folder, "departments", "name", "id"), null_safe=True).df
 
 
-@query('select coalesce(e.k, d.k) as "key", coalesce(e.n, 0) as "left", coalesce(d.n, 0) as "right" from (select c_nationkey as k, count(*) as n from customer where c_acctbal > 5000 group by 1) e full join (select s_nationkey as k, count(*) as n from supplier group by 1) d on e.k = d.k')
-def cogroup(spark, folder):
-    a = Bag(table(spark, folder, "customer").where("c_acctbal > 5000").select(F.col("c_nationkey").alias("key"), F.col("c_custkey").alias("value")))
-    out = joins.cogroup(a, keyed(spark, folder, "supplier", "s_nationkey", "s_suppkey"))
-    return out.map("key", F.size("left").cast("bigint").alias("left"), F.size("right").cast("bigint").alias("right")).df
-
-
 def _group_sizes(pair: Bag) -> DataFrame:
     return pair.map("key", F.size("left").cast("bigint").alias("left"), F.size("right").cast("bigint").alias("right")).df
 
@@ -592,13 +579,6 @@ def checkpoint_reuse(spark, folder):
     return kept_from(persisting.checkpointed(spark, out, lambda: 1 / 0).df, out)
 
 
-@query("select count(*) as n from lineitem")
-def text_with_path(spark, folder):
-    out = scratch(spark)
-    persisting.persist(text.to_text(bag(spark, folder, "lineitem", "l_orderkey"), out))
-    return kept_from(text.from_text_with_path(spark, out).filter(F.col("key").contains("scratch-")).length().map(F.col("value").alias("n")).df, out)
-
-
 @query("select n_name, string_split(n_name, 'A')[1] as head from nation")
 def split_fields(spark, folder):
     return bag(spark, folder, "nation").map("n_name", field(fields(F.col("n_name"), "A"), 0).alias("head")).df

@@ -212,3 +212,36 @@ def short_words(spark, folder):
 
 def sequence_compressed(rows: Bag, out: str) -> Bag:
     return sequence.to_sequence(rows, out).update_sinks(lambda s: (*s[:-1], s[-1].compressed()))
+
+
+@query("select station, time, temp, loaded_at from weather")
+def avro_roundtrip(spark, folder):
+    out = scratch(spark)
+    persisting.persist(records.to_avro(bag(spark, folder, "weather").map("station", "time", "temp", F.col("loaded_at").cast("timestamp").alias("loaded_at")), out))
+    return kept_from(records.from_avro(spark, out).map("station", "time", "temp", F.col("loaded_at").cast("timestamp_ntz").alias("loaded_at")).df, out)
+
+
+_HEAT = """{"type": "record", "name": "Heat", "fields": [{"name": "station", "type": ["string", "null"]}, {"name": "temp", "type": ["long", "null"]}, {"name": "unit", "type": "string", "default": "dC"}]}"""
+
+
+@query("select station, max(temp) as warmest, count(*) as readings, 'dC' as unit, 'raised' as mismatch from weather where station is not null group by 1")
+def avro_warmest(spark, folder):
+    """A program on Avro files: written, read with a schema of fewer fields, wider numbers and a default, reduced, written and read again."""
+    first, second = scratch(spark), scratch(spark)
+    persisting.persist(records.to_avro(bag(spark, folder, "weather", "time", "temp", "station"), first))
+    heat = records.from_avro(spark, first, schema=_HEAT).filter("station is not null")
+    mismatch = outcome(lambda: records.from_avro(spark, first, schema=_HEAT.replace('"long"', '"boolean"')))
+    out = Bag(heat.df, key="station").group_by_key().agg(red.MAXIMUM.of("temp").alias("warmest"), F.count(F.lit(1)).alias("readings"), F.min("unit").alias("unit"))
+    persisting.persist(persisting.kept(records.to_avro(out.map("station", "warmest", "readings", "unit", F.lit(mismatch).alias("mismatch")), second)))
+    got = kept_from(records.from_avro(spark, f"{second}/part-*").df, second)
+    Files(spark, first).delete()
+    return got
+
+
+@query("select count(*) as n, min(n_name) as first, 1 as listed from nation")
+def avro_objects(spark, folder):
+    out = scratch(spark)
+    rows = Bag(table(spark, folder, "nation").select("n_name", "n_nationkey", "n_regionkey").coalesce(1).sortWithinPartitions("n_name"))
+    persisting.persist(records.to_avro(rows, out, compression="null"))
+    row = (records.from_avro(spark, out).length().run(), records.avro_object(spark, f"{out}/*.avro").run()[0], len(records.avro_cat(spark, out, 1)))
+    return kept_from(spark.createDataFrame([row], "n bigint, first string, listed int"), out)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,15 +36,15 @@ def shortest_paths(edges: DataFrame, start: DataFrame, most: int = 100) -> DataF
     Each round only carries the vertices that were reached last; it ends when there are none.
     """
     links = cut(edges.select("src", "dst").distinct())
-    frontier = cut(start.select("id").distinct().withColumn("distance", F.lit(0)))
-    known = frontier
+    reached = [cut(start.select("id").distinct().withColumn("distance", F.lit(0)))]  # what each round adds; nothing is written twice
     for d in range(1, most + 1):
-        step = links.join(frontier, F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id")).distinct()
-        frontier = cut(step.join(known, "id", "left_anti").withColumn("distance", F.lit(d)))
-        if frontier.isEmpty():
+        step = links.join(reached[-1], F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id")).distinct()
+        known = functools.reduce(DataFrame.unionByName, reached).select("id")
+        new = cut(step.join(known, "id", "left_anti").withColumn("distance", F.lit(d)))
+        if new.isEmpty():
             break
-        known = cut(known.unionByName(frontier))
-    return known
+        reached.append(new)
+    return functools.reduce(DataFrame.unionByName, reached)
 
 
 def similarity(pairs: DataFrame, *keys: str) -> DataFrame:

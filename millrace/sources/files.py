@@ -29,6 +29,13 @@ class Files:
     def delete(self) -> bool:
         return self.fs.delete(self.path, True)
 
+    def make_folder(self) -> bool:
+        return self.fs.mkdirs(self.path)
+
+    def touch(self) -> None:
+        """Makes an empty file."""
+        self.fs.create(self.path, True).close()
+
     def copy_to_local(self, to: str) -> None:
         self.fs.copyToLocalFile(False, self.path, self._path(to), True)
 

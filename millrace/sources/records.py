@@ -1,8 +1,10 @@
-"""Binary record formats: Avro where its module is there, Thrift payloads through a decoder, and sources of one's own."""
+"""Binary record formats: Avro, Thrift payloads through a decoder, and sources of one's own."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 from typing import Any
 
 import pandas as pd
@@ -12,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from millrace.operators.bag import Bag, Scalar
+from millrace.sources import avro
 from millrace.sources.text import present
 
 
@@ -23,30 +26,53 @@ def avro_available(spark: SparkSession) -> bool:
     return True
 
 
-def _need_avro(spark: SparkSession) -> None:
-    if not avro_available(spark):
-        raise RuntimeError("Avro needs the package org.apache.spark:spark-avro on the session's class path")
-
-
 def from_avro(spark: SparkSession, *paths: str, schema: str | None = None, check: bool = True) -> Bag:
-    """Records of Avro files. schema: a reader schema (JSON), which may name some of the fields only; one that doesn't fit the files raises."""
-    _need_avro(spark)
+    """Records of Avro files, by Spark's module where it is on the class path and otherwise by the package's own reader.
+
+    schema: a reader schema (JSON), which may name some of the fields only; one that doesn't fit the files raises. check: whether every path must be there and every file's schema is looked at before anything runs.
+    """
     there = present(spark, paths, check)
-    reader = spark.read.format("avro")
-    return Bag((reader.option("avroSchema", schema) if schema else reader).load(there))
+    if not there:
+        if schema is None:
+            raise FileNotFoundError("no Avro file, and no schema for an empty list")
+        return Bag(spark.createDataFrame([], avro.spark_type(avro.resolved(json.loads(schema)))))
+    if avro_available(spark):
+        reader = spark.read.format("avro")
+        return Bag((reader.option("avroSchema", schema) if schema else reader).load(there))
+    return Bag(avro.read(spark, there, schema, check))
 
 
 def avro_object(spark: SparkSession, path: str) -> Scalar:
+    """The first record of the files that a path or pattern stands for."""
     return Scalar(from_avro(spark, path).df.limit(1), "raise")
 
 
-def to_avro(bag: Bag, path: str, overwrite: bool = False, compression: str | None = None) -> Bag:
-    def write(df: DataFrame) -> None:
-        _need_avro(df.sparkSession)
-        writer = df.write.format("avro").mode("overwrite" if overwrite else "errorifexists")
-        (writer.option("compression", compression) if compression else writer).save(path)
+def avro_cat(spark: SparkSession, path: str, lines: int = 20) -> list[str]:
+    """The first records of Avro files as JSON."""
+    return [json.dumps(r.asDict(recursive=True), default=str) for r in from_avro(spark, path).df.limit(lines).collect()]
+
 
-    return bag.add_sink(write)
+@dataclass(frozen=True)
+class AvroSink:
+    path: str
+    overwrite: bool = False
+    codec: str = "deflate"
+    check: bool = True
+
+    def compressed(self, codec: str = "deflate") -> AvroSink:
+        return replace(self, codec=codec)
+
+    def __call__(self, df: DataFrame) -> None:
+        if avro_available(df.sparkSession):
+            mode = "overwrite" if self.overwrite else "errorifexists" if self.check else "append"
+            df.write.format("avro").mode(mode).option("compression", self.codec).save(self.path)
+        else:
+            avro.write(df, self.path, self.overwrite, self.codec, self.check)
+
+
+def to_avro(bag: Bag, path: str, overwrite: bool = False, compression: str | None = None) -> Bag:
+    """Avro files of the list's columns; ``persisting.kept`` makes the sink a checkpoint."""
+    return bag.add_sink(AvroSink(path, overwrite, compression or "deflate"))
 
 
 def decoded(bag: Bag, payload: str, decode: Callable[[bytes], tuple], schema: T.StructType) -> Bag:

@@ -90,14 +90,10 @@ def test_sequences(spark, tmp_path):
     assert sorted(sequence.from_sequence(spark, long, string, f"{p}/d2").run()) == [(2, "y"), (3, "z")]
 
 
-def test_avro_is_there_or_says_what_is_missing(spark, tmp_path):
+def test_avro_with_or_without_the_module(spark, tmp_path):
     rows, out = Bag.of(spark, [("s", 5, 12)], "station string, time long, temp int"), str(tmp_path / "avro")
-    if records.avro_available(spark):
-        persisting.persist(records.to_avro(rows, out))
-        assert records.from_avro(spark, out).run() == [("s", 5, 12)]
-    else:
-        with pytest.raises(RuntimeError, match="spark-avro"):
-            persisting.persist(records.to_avro(rows, out))
+    persisting.persist(records.to_avro(rows, out))
+    assert records.from_avro(spark, out).run() == [("s", 5, 12)]
 
 
 def test_payloads(spark):
