@@ -44,7 +44,7 @@ class Grouping:
         return Grouping(lambda k: [*self.keys(k), *other.keys(k)], (*self.order, *other.order))
 
     def secondary_sort(self, *by: Column | str) -> Grouping:
-        """The same groups, with their values in this order."""
+        """The same groups, with their values in ascending order of these expressions (negate a number to descend)."""
         return replace(self, order=tuple(F.col(b) if isinstance(b, str) else b for b in by))
 
 

@@ -20,4 +20,4 @@ def test_nothing_but_the_entry_imports_the_llm_package():
 
 def test_no_checkpoint_that_dies_with_an_executor():
     for path in (ROOT / "millrace").rglob("*.py"):
-        assert "local" + "Checkpoint" not in path.read_text(), path
+        assert "localCheckpoint" not in path.read_text(), path
