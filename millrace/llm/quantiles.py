@@ -69,10 +69,10 @@ def rank_of(p: str, n: Column) -> Column:
 SETTLE = 64
 #: Values of a block: what is counted against the pivots in one go.
 BLOCK = 4096
-#: Pivots of a range in one round: the weighted median, those of both halves and of their halves.
-PIVOTS = 7
-#: Ranges up to which the table of their pivots (seven values each) is broadcast.
-BROADCAST_RANGES = 100_000
+#: Pivots of a range in one round: the weighted median, those of both halves, of the quarters and of the eighths.
+PIVOTS = 15
+#: Ranges up to which the table of their pivots (fifteen values each) is broadcast.
+BROADCAST_RANGES = 50_000
 #: Parts of a group when sizes are joined to groups too many to be broadcast.
 SALTS = 32
 
@@ -124,9 +124,9 @@ def percentiles(summary: DataFrame, group: str, probabilities: dict[str, str], s
     value error, ``error_bound``, is half the summary's resolution (zero without one).
 
     Method: multi-selection. Partitions hold sorted blocks of a group's candidates. In every round each partition proposes, for every range that is still open, the medians of its own candidates,
-    of their halves and of the halves' halves; the weighted medians of all proposals become the pivots, candidates are counted three ways (below, at, above) against them, and only the range
+    of their halves, quarters and eighths; the weighted medians of all proposals become the pivots, candidates are counted three ways (below, at, above) against them, and only the range
     between two pivots in which a wanted rank lies goes on. Percentiles in one range share it and ranges are disjoint, so a candidate is never held twice, and five percentiles cost little more than one.
-    A range of ``settle`` candidates or fewer is picked directly. A round leaves about an eighth of each range.
+    A range of ``settle`` candidates or fewer is picked directly. A round leaves about a sixteenth of each range.
 
     blocks: partitions to deal the summary to by hash of (group, value); by default as it comes, which after ``merge`` is by that hash. A group of any size lies in all partitions and no step brings more of it
     together than a proposal per partition. ``broadcast``: with more ranges than this, tables of pivots are joined by (group, range, partition).
