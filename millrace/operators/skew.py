@@ -67,16 +67,18 @@ SAMPLE_PER_SLOT = 40
 
 
 def skew_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner", slots: int | None = None, seed: int = 7) -> DataFrame:
-    """Equi-join of a skewed left side with a right side (inner or left): every heavy key is split over as many slots as its share asks for.
+    """Equi-join of a skewed left side with a right side (inner, left, right or full): every heavy key is split over as many slots as its share asks for.
 
     Quantiles of (key, row hash) in a bounded sample of the left side cut it into ``slots`` ranges; a key that holds several cuts is
     heavy. Its left rows take the slot between whose cuts their hash lies, its right rows are repeated once for each of its slots, and the
     join is on (key, slot). The table of cuts has at most ``slots`` rows. The sample decides only how work is spread, never the result.
 
-    Null keys match nothing (a left join keeps them). Columns of the right side whose names clash get a numbered name.
+    Right and full joins add what an anti join against the left side's distinct keys leaves of the right side, as rows that are repeated over slots can't tell there whether they match.
+
+    Null keys match nothing (the joins that keep a side keep its null keys). Columns of the right side whose names clash get a numbered name.
     """
-    if how not in ("inner", "left"):
-        raise ValueError("how must be inner or left")
+    if how not in ("inner", "left", "right", "full"):
+        raise ValueError("how must be inner, left, right or full")
     spark = left.sparkSession
     slots = slots or shuffle_partitions(spark)
     taken = list(left.columns)
@@ -105,5 +107,9 @@ def skew_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     r = right.toDF(*renamed)
     rslot = fresh([*taken, slot], "right_slot")
     r = r.join(table, F.col(f"`{rk}`") == F.col(ck), "left").withColumn(rslot, F.explode(F.sequence(F.lit(0), F.coalesce(F.size(cuts), F.lit(0))))).drop(ck, cuts)
-    joined = left_s.join(r, (F.col(f"`{left_key}`") == F.col(f"`{rk}`")) & (F.col(slot) == F.col(rslot)), how)
-    return joined.drop(slot, rslot)
+    matched = left_s.join(r, (F.col(f"`{left_key}`") == F.col(f"`{rk}`")) & (F.col(slot) == F.col(rslot)), "left" if how in ("left", "full") else "inner").drop(slot, rslot)
+    if how in ("inner", "left"):
+        return matched
+    keys = left.select(F.col(f"`{left_key}`").alias(ck)).where(F.col(ck).isNotNull()).distinct()
+    alone = right.toDF(*renamed).join(keys, F.col(f"`{rk}`") == F.col(ck), "left_anti")
+    return matched.unionByName(alone.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in left.schema.fields], *[F.col(f"`{c}`") for c in renamed]))

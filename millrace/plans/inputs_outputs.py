@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import io
-import tempfile
 import time
 from collections.abc import Callable, Iterable
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -168,12 +168,10 @@ def checkpoints_on_sinks(spark, folder):
 
     two = text.to_text(text.to_text(names, f"{out}/a"), f"{out}/b").update_sinks(lambda s: tuple(reversed(s)))
     persisting.persist(two)
-    with tempfile.TemporaryDirectory() as here:
-        files = persisting.downloaded(spark, f"{out}/a", lambda name: name.startswith("part-"), here)
-        lines = 0
-        for f in files:
-            with open(f) as g:
-                lines += len(g.readlines())
+    lines = 0
+    for f in persisting.downloaded(spark, f"{out}/a", lambda name: name.startswith("part-"), f"{urlparse(out).path}/here"):
+        with open(f) as g:
+            lines += len(g.readlines())
     row = (kept, text.from_text(spark, f"{out}/t").length().run(), int(Files(spark, f"{out}/t-1").exists()), outcome(lambda: persisting.persist(persisting.checked(text.to_text(names, f"{out}/c"), refuse))), sum(Files(spark, f"{out}/{x}").exists() for x in "ab"), lines)
     return kept_from(spark.createDataFrame([row], "kept bigint, remade int, archived int, checked string, sinks int, downloaded bigint"), out)
 

@@ -39,6 +39,12 @@ def p2_join(spark: SparkSession, folder: str) -> DataFrame:
     return skew_join(left, right, "dept_id", "id", "left").select("emp_id", "dept_id", F.col("name").alias("dept_name"))
 
 
+def p2_join_full(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with departments that no employee is in."""
+    left, right = table(spark, folder, "employees").select("emp_id", "dept_id"), table(spark, folder, "departments").select("id", "name")
+    return skew_join(left, right, "dept_id", "id", "full").select("emp_id", "dept_id", F.col("id").alias("dept"), F.col("name").alias("dept_name"))
+
+
 # --- problem 3
 
 #: Tenths of a degree Celsius that air on earth can have.
@@ -102,7 +108,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return hourly(spark, folder).where("n_readings = 0").select("station", "slot")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_headcounts, p2_join, p3_found, p3_reasons, p3_range, p3_frozen, p5_found, p5_rolling, p6_found, p6_grid)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_headcounts, p2_join, p2_join_full, p3_found, p3_reasons, p3_range, p3_frozen, p5_found, p5_rolling, p6_found, p6_grid)}
 
 _PRICED = """priced as (
     select symbol, d as day, count(*) as n, sum(price) as total from (
@@ -123,6 +129,7 @@ SQL = {
     "p2_headcounts": """select e.dept_id, d.name, e.heads, e.n_rows from
         (select dept_id, count(distinct emp_id) as heads, count(*) as n_rows from employees group by dept_id) e left join departments d on e.dept_id = d.id""",
     "p2_join": "select e.emp_id, e.dept_id, d.name as dept_name from employees e left join departments d on e.dept_id = d.id",
+    "p2_join_full": "select e.emp_id, e.dept_id, d.id as dept, d.name as dept_name from employees e full join departments d on e.dept_id = d.id",
     "p3_range": f"select distinct station, time, temp from weather where station is not null and time is not null and temp not between {AIR[0]} and {AIR[1]}",
     "p3_frozen": f"""with r as (select distinct station, time, temp from weather where station is not null and time is not null and temp between {AIR[0]} and {AIR[1]}),
         o as (select *, row_number() over (partition by station order by time, temp) - row_number() over (partition by station, temp order by time) as island from r),

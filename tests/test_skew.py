@@ -1,5 +1,6 @@
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators.skew import key_counts, key_states, skew_join
@@ -44,3 +45,12 @@ def test_join_equals_plain_join(spark):
         assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
     assert skew_join(left.limit(0), right, "k", "k", "left").count() == 0
     assert skew_join(left, right.limit(0), "k", "k", "left").count() == left.count()
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+def test_every_kind_of_join_is_that_of_the_engine(spark, how):
+    left = spark.createDataFrame([(7 if k % 3 else k % 50, k) for k in range(900)] + [(None, 1), (None, 2)], "k int, v int")
+    right = spark.createDataFrame([(k, f"r{k}") for k in range(40, 60)] + [(7, "a"), (7, "b"), (None, "n")], "k int, w string")
+    got = skew_join(left, right, "k", "k", how, slots=6)
+    want = left.join(right.withColumnRenamed("k", "k_1"), left["k"] == right.withColumnRenamed("k", "k_1")["k_1"], how)
+    assert got.columns == ["k", "v", "k_1", "w"] and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
