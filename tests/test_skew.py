@@ -52,5 +52,5 @@ def test_every_kind_of_join_is_that_of_the_engine(spark, how):
     left = spark.createDataFrame([(7 if k % 3 else k % 50, k) for k in range(900)] + [(None, 1), (None, 2)], "k int, v int")
     right = spark.createDataFrame([(k, f"r{k}") for k in range(40, 60)] + [(7, "a"), (7, "b"), (None, "n")], "k int, w string")
     got = skew_join(left, right, "k", "k", how, slots=6)
-    want = left.join(right.withColumnRenamed("k", "k_1"), left["k"] == right.withColumnRenamed("k", "k_1")["k_1"], how)
+    want = left.join(right.withColumnRenamed("k", "k_1"), F.col("k") == F.col("k_1"), how)
     assert got.columns == ["k", "v", "k_1", "w"] and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
