@@ -448,7 +448,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id
     the pair is reported if one of them is a leak, with the figures of the one of greatest share.
 
     Skew: items of equal words are sought once and expanded at the end; a window that an item repeats is paired by its ordinal, so a text of repetitions meets it once for each of its words at most. With more than
-    ``broadcast`` windows of items their table is not broadcast: the join is one that splits windows which many texts have, and a text's part with one item is a key of its own.
+    ``broadcast`` windows of items their table is not broadcast: the join is one that splits windows which many texts have, windows that many items share are brought in only for pairs that agree in
+    others too (see ``_met_by_rare_windows``; none that could be a leak is lost), and a text's part with one item is a key of its own.
 
     Defined results: null and empty texts have no pairs, nor have items of fewer than five words (a character of a script without spaces is a word). Items with equal passages are both reported.
     A repeated or null doc_id is a text of its own each time, so a pair may then occur twice. Texts of any length are read whole. Extra columns are left out.
@@ -510,8 +511,11 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id
 
     hits = docs.select(F.col(f"`{doc_id}`"), F.col(f"`{doc_text}`")).mapInArrow(doc_windows, d_schema)
     few = windows.limit(broadcast + 1).count() <= broadcast
-    met = hits.join(F.broadcast(windows), F.col("dh") == F.col("h")) if few else skew_join(cut(hits), windows, "dh", "h")
-    met = met.select("row", "ik", "doc", "pos", "doc_words", "passage", "at", "of", "item_words")
+    columns = ["row", "ik", "doc", "pos", "doc_words", "passage", "at", "of", "item_words"]
+    if few:
+        met = hits.join(F.broadcast(windows), F.col("dh") == F.col("h")).select(*columns)
+    else:
+        met = _met_by_rare_windows(cut(hits), windows, least, columns)
     if not few:  # else a text's rows still follow one another
         met = met.repartition("row", "ik").sortWithinPartitions("row", "ik")
     out = T.StructType([T.StructField("doc", doc_kind), T.StructField("passage", T.BinaryType()), T.StructField("share", T.DoubleType()), T.StructField("template_share", T.DoubleType()), T.StructField("slot_agreement", T.DoubleType()), T.StructField("kind", T.StringType())])
@@ -554,6 +558,43 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id
     return found.join(ids, F.col("p") == F.col("passage")).select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "share", "template_share", "slot_agreement", "kind")
 
 
+def _met_by_rare_windows(hits: DataFrame, windows: DataFrame, least: float, columns: list[str]) -> DataFrame:
+    """Windows of texts beside equal windows of items, for all pairs of which anything but an item's commonest windows agrees.
+
+    An item's windows that most items have are put aside, the commonest first, as long as together they cover less of it than the part ``least``: a pair in which only they agree is no leak whatever they say,
+    so nothing is lost. The rest meets the texts' windows in a join that splits frequent ones; to the pairs that come of it, the windows put aside are then brought back.
+    """
+    common = windows.groupBy(F.col("h").alias("ch")).agg(F.count_distinct("ik").alias("items"))
+    counted = skew_join(windows, common, "h", "ch").drop("ch").repartition("ik").sortWithinPartitions("ik", F.col("items").desc(), "h", "at")
+    schema = T.StructType([*windows.schema.fields, T.StructField("aside", T.BooleanType())])
+    names = schema.names
+
+    def put_aside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups((b.select(["ik", *(c for c in b.schema.names if c != "ik")]) for b in batches), 1):
+            col = {c: g.column(k) for k, c in enumerate(g.schema.names)}
+            at, size, items, of = (col[c].to_numpy().astype(np.int64) for c in ("at", "size", "items", "of"))
+            covered, aside = np.zeros(int(of[0]), bool), np.zeros(g.num_rows, bool)
+            h = col["h"].to_numpy()
+            bounds = np.append(np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])), len(h))
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):  # all windows of one hash at once
+                more = covered.copy()
+                for k in range(a, b):
+                    more[at[k] : at[k] + size[k]] = True
+                if items[a] < 2 or more.sum() >= least * of[0]:
+                    break
+                covered = more
+                aside[a:b] = True
+            yield pa.RecordBatch.from_arrays([*(col[c] for c in names[:-1]), pa.array(aside)], names)
+
+    marked = cut(counted.mapInArrow(put_aside, schema))
+    met = cut(skew_join(hits, marked.where("not aside"), "dh", "h").select(*columns))
+    pairs = met.select("row", "ik").distinct()
+    often = marked.where("aside").select(F.col("h").alias("oh"), "passage", F.col("ik").alias("oik"), "at", "of", "item_words")
+    wanted = skew_join(pairs, often, "ik", "oik").withColumnRenamed("row", "prow")
+    back = hits.join(wanted, (F.col("row") == F.col("prow")) & (F.col("dh") == F.col("oh"))).select(*columns)
+    return met.unionByName(back)
+
+
 def _sizes(words_: pa.Array) -> np.ndarray:
     """Words of packed windows."""
     return np.diff(np.frombuffer(words_.buffers()[1], np.int32)[words_.offset : words_.offset + len(words_) + 1]).astype(np.int64) // 8
