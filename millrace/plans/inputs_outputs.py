@@ -146,7 +146,7 @@ def joint_execution(spark, folder):
     out, counters = scratch(spark), Counters(spark)
     seen = bag(spark, folder, "orders", "o_orderkey").parallel_do(Seen(), "value bigint", counters=counters)
     even, odd = text.to_text(seen.filter("value % 2 = 0"), f"{out}/even"), text.to_text(seen.filter("value % 2 <> 0"), f"{out}/odd")
-    total = persisting.run(even, odd, seen.length())[2]
+    (total,) = persisting.persist(even, odd, seen.length())
     row = (counters.value("rows", "seen"), text.from_text(spark, f"{out}/even").length().run(), text.from_text(spark, f"{out}/odd").length().run(), total)
     return kept_from(spark.createDataFrame([row], "seen bigint, even bigint, odd bigint, total bigint"), out)
 

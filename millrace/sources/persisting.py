@@ -65,16 +65,24 @@ def _again(df: DataFrame) -> DataFrame:
     return DataFrame(spark.sparkContext._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, df._jdf.queryExecution().logical()), spark)
 
 
-def persist(*things: Bag) -> None:
-    """Writes every list to all its sinks. What several lists have in common, and a list with several sinks, is computed once."""
-    with computed_once(*[t.df for t in things for _ in t.sinks]):
-        for thing in things:
-            for write in thing.sinks:
-                write(_again(thing.df))
+def persist(*things: Bag | Scalar) -> list[Any]:
+    """Writes every list to all its sinks and gives the values of the scalars, in their order; elements of lists stay where they are (``run`` brings them to the driver).
+
+    What several lists and scalars have in common, and a list with several sinks, is computed once.
+    """
+    bags, scalars = [t for t in things if isinstance(t, Bag)], [t for t in things if isinstance(t, Scalar)]
+    with computed_once(*[b.df for b in bags for _ in b.sinks], *[s.df for s in scalars]):
+        for b in bags:
+            for write in b.sinks:
+                write(_again(b.df))
+        return [replace(s, df=_again(s.df)).run() for s in scalars]
 
 
 def run(*things: Bag | Scalar, shared: tuple[Bag, ...] = ()) -> list[Any]:
-    """The values of lists and scalars, after sinks are written; what several of them come from is found and computed once. shared: lists to keep besides."""
+    """The values of lists and scalars, after sinks are written; what several of them come from is found and computed once. shared: lists to keep besides.
+
+    All elements of every list come to the driver, of one with sinks too; ``persist`` leaves them where they are.
+    """
     bags = [t for t in things if isinstance(t, Bag)]
     for s in shared:
         s.df.persist()

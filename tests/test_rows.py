@@ -1,10 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from millrace.operators import joins
 from millrace.operators import reductions as red
 from millrace.operators.bag import Bag, Counters, DoFn, GroupFn, Scalar
 from millrace.operators.grouping import ALL, Grouping
+from millrace.plans import inputs_outputs
 from millrace.session import steady
 from millrace.sources import persisting, text
 
@@ -150,6 +152,35 @@ def test_common_parts_run_once(spark, tmp_path):
     assert not spark.sparkContext._jsc.getPersistentRDDs()
 
 
+def test_lists_that_are_written_do_not_come_to_the_driver(spark, data, tmp_path, monkeypatch):
+    class Count(DoFn):
+        def process(self, env, row):
+            self.context.count("r", "seen")
+            yield (row["value"],)
+
+    brought, collect = [], DataFrame.collect
+
+    def watched(df):
+        rows = collect(df)
+        brought.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(DataFrame, "collect", watched)
+    n = spark.read.parquet(f"{data}/orders.parquet").count()
+    got = inputs_outputs.joint_execution(spark, data).first()
+    assert got.seen == got.total == got.even + got.odd == n > 1 and max(brought) == 1
+
+    c = Counters(spark)
+    base = Bag.range(spark, 0, 100).parallel_do(Count(), "value bigint", counters=c)
+    two = text.to_text(text.to_text(base.filter("value < 50"), f"{tmp_path}/a"), f"{tmp_path}/b")
+    assert persisting.persist(base.sum("value"), two, base.length()) == [4950, 100] and c.value("r", "seen") == 100
+    assert [text.from_text(spark, f"{tmp_path}/{x}").length().run() for x in "ab"] == [50, 50] and max(brought) == 1
+    assert persisting.persist(base.filter("value = 3").materialise()) == [[3]]
+    with pytest.raises(ValueError):
+        persisting.persist(text.to_text(base, f"{tmp_path}/c"), base.filter("false").max())
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
 def test_checked_and_kept_sinks(spark, tmp_path):
     rows, out = Bag.of(spark, ["a", "b"], "value string"), f"{tmp_path}/t"
     kept = persisting.kept(text.to_text(rows, out))
